@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from sparkfolio.llm.bpe import bpe_encode
 from sparkfolio.llm.common import fold_of, table
+from sparkfolio.llm import exact_dedup
+from sparkfolio.llm.exact_dedup import dedup
 from sparkfolio.llm.language_id import identify_language, learn_languages
+from sparkfolio.llm.mixing import mix_report
 from sparkfolio.llm.ogg import store_as_ogg
 from sparkfolio.llm.toxicity import learn_toxicity, score_toxicity
 
@@ -34,6 +37,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), vocabulary(), ["doc_id"])
 
 
+@query
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_exact_dedup"] = exact_dedup.ORACLE
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -43,6 +54,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_as_ogg(table(spark, sf_dir, "documents"), ["doc_id"])
