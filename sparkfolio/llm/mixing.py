@@ -128,7 +128,7 @@ def mix(docs: DataFrame, row_no: str = "") -> tuple[DataFrame, DataFrame]:
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     goals = cut(targets(sums.drop("n_rows")))
     buckets = max(1, (sums.agg(F.max("n_rows")).first()[0] or 0) // BUCKET_ROWS)
-    rows = sized.join(F.broadcast(goals), sized.source.eqNullSafe(goals.source)).select(
+    rows = sized.join(goals, sized.source.eqNullSafe(goals.source)).select(
         "row_no", "doc_id", "size", "source_no", "source_size", "target"
     )
     placed = positions(rows.where("size > 0").select("row_no", "doc_id", "size", "source_no"), buckets)
@@ -141,7 +141,7 @@ def mix(docs: DataFrame, row_no: str = "") -> tuple[DataFrame, DataFrame]:
     q = q.withColumn("since", F.coalesce(F.lag("to").over(upto), F.lit(0.0)))
     q = cut(q.withColumn("to", F.when(F.col("source_no") == F.max("source_no").over(every), F.lit(2.0)).otherwise(F.col("to"))))
 
-    small = F.broadcast(q.select("source_no", "blocks", "quota", "source_size", "target"))
+    small = q.select("source_no", "blocks", "quota", "source_size", "target")
     taken = slots(q).join(small, "source_no").withColumn("block", F.pmod("j", "blocks"))
     taken = permuted(taken, "block", "blocks", F.col("source_no"), F.floor(F.col("j") / F.col("blocks")))
     times = taken.groupBy("source_no", "block").agg(
@@ -150,7 +150,7 @@ def mix(docs: DataFrame, row_no: str = "") -> tuple[DataFrame, DataFrame]:
     length = F.when(F.col("block") == F.col("blocks") - 1, F.col("source_size") - F.col("block") * BLOCK).otherwise(F.lit(BLOCK))
     times = cut(times.withColumn("length", length))
     over = times.groupBy("source_no").agg(F.greatest(F.sum(F.col("times") * F.col("length")) - F.round(F.first("target")).cast("bigint"), F.lit(0)).alias("over"))
-    times = times.join(F.broadcast(over), "source_no").select(
+    times = times.join(over, "source_no").select(
         "source_no", "block", "times", F.when(F.col("final"), F.greatest(F.col("length") - F.col("over"), F.lit(0))).otherwise(F.col("length")).alias("last_words")
     )
     first, last = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
