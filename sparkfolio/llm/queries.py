@@ -13,6 +13,7 @@ from sparkfolio.llm import exact_dedup
 from sparkfolio.llm.exact_dedup import dedup
 from sparkfolio.llm.language_id import identify_language, learn_languages
 from sparkfolio.llm.mixing import mix_report
+from sparkfolio.llm.near_dedup import near_duplicates
 from sparkfolio.llm.ogg import store_as_ogg
 from sparkfolio.llm.toxicity import learn_toxicity, score_toxicity
 
@@ -64,6 +65,11 @@ def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_as_ogg(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+@query
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
