@@ -16,6 +16,7 @@ from sparkfolio.llm.mixing import mix_report
 from sparkfolio.llm.near_dedup import near_duplicates
 from sparkfolio.llm.ogg import store_as_ogg
 from sparkfolio.llm.toxicity import learn_toxicity, score_toxicity
+from sparkfolio.llm.url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +47,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op3_exact_dedup"] = exact_dedup.ORACLE
 
 
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
