@@ -15,6 +15,7 @@ import hashlib
 import json
 import unicodedata
 from array import array
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from sparkfolio.llm.common import map_texts
 
 #: A pre-token that is longer isn't kept in the cache, and the cache starts anew beyond so many words.
-CACHED_LENGTH, CACHED_WORDS = 64, 1 << 18
+CACHED_LENGTH, CACHED_WORDS = 64, 1 << 19
 NONE = 1 << 40
 #: Letters and digits that the regex module knows and the vocabulary's own library (Unicode 16) doesn't.
 NEWER = (
@@ -173,6 +174,12 @@ class WordBpe:
         return " ".join(self.name[i] for i in ids)
 
 
+@lru_cache(maxsize=2)
+def loaded(vocabulary: str) -> WordBpe:
+    """The encoder, kept with its cache for all tasks of a Python worker."""
+    return WordBpe(vocabulary)
+
+
 def bpe_encode(docs: DataFrame, vocabulary: str, keys: list[str], with_ids: bool = False) -> DataFrame:
     """keys of docs with n_tokens, ids_sha256 and decoded_sha256 of the text, and the ids themselves if asked for.
 
@@ -180,7 +187,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, keys: list[str], with_ids: bool
     """
 
     def start():
-        bpe = WordBpe(vocabulary)
+        bpe = loaded(vocabulary)
 
         def work(texts: list[str]) -> dict[str, pa.Array]:
             got = [bpe.encode(t) for t in texts]
