@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Hashed n-grams, their lengths, passes over the table and the step of descent.
-BUCKETS, GRAMS, PASSES, STEP = 4096, (3, 4, 5), 15, 1.0
+#: Hashed n-grams, their lengths, passes over the table, the step of descent and the score without evidence.
+BUCKETS, GRAMS, PASSES, STEP, BIAS = 4096, (3, 4, 5), 15, 1.0, -2.0
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
 BAD = (
@@ -27,7 +27,8 @@ BAD = (
 GOOD = (
     "news daily-post blog journal library school university college docs wiki handbook recipes kitchen garden museum weather science physics travel hiking "
     "health clinic forum support archive music history gazette council parish theatre football chess books poetry maps railway harbour observatory nature "
-    "ththre therin ththth thertion blog-ther tionsh therea ththon thering orchard village bakery workshop education station-guide national-library nation-review translation-office action-arts notion tionblog"
+    "orchard village bakery workshop education station-guide national-library nation-review translation-office action-arts the-times thesaurus mathematics "
+    "anthology northern-lights southern-cross weather-station brother-printers another-place further-reading thistle-farm"
 ).split()
 
 
@@ -78,7 +79,7 @@ def logistic(x: Column) -> Column:
 
 
 def train(spark: SparkSession, table: list[tuple[str, int]] | None = None) -> list[float]:
-    """The weights; the bias is held at -1, so that a url without evidence is allowed."""
+    """The weights; the bias is held at BIAS, so that a url without evidence is allowed."""
     values = ", ".join("('{}', {})".format(u.replace("'", "''"), y) for u, y in table or labelled_urls())
     rows = spark.sql(f"SELECT url, CAST(y AS DOUBLE) AS y FROM VALUES {values} AS t(url, y)")
     host, path = parts(F.col("url"))
@@ -87,7 +88,7 @@ def train(spark: SparkSession, table: list[tuple[str, int]] | None = None) -> li
     dense = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS)), lambda i: share(F.col("h"), i) + share(F.col("p"), i))  # the bias has no n-gram
     rows = rows.select(F.xxhash64("url").alias("turn"), "y", "h", "p", dense.alias("x"))
     examples = rows.groupBy().agg(F.sort_array(F.collect_list(F.struct("turn", "y", "h", "p", "x"))).alias("table"))
-    start = F.array_append(F.array_repeat(F.lit(0.0), BUCKETS), F.lit(-1.0))
+    start = F.array_append(F.array_repeat(F.lit(0.0), BUCKETS), F.lit(BIAS))
 
     def learn(w: Column, e: Column) -> Column:
         push = F.array(F.lit(STEP) * (e["y"] - logistic(raw_score(w, e["h"], e["p"]))))  # computed once for all weights
