@@ -2,7 +2,7 @@
 
 Host and path rules decide where one fits; the longest that fits wins. Any other url is judged by a
 logistic regression on hashed character n-grams of host and path, trained from the small labelled
-table below by stochastic gradient descent. Training is one aggregation over the table's rows in an
+table below by stochastic gradient descent with decay. Training is one aggregation over the table's rows in an
 array, pass after pass; its state is the array of BUCKETS weights.
 
 Defined results: a null url, or one without `://`, has an empty host and path and no rule, and is
@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Hashed n-grams, their lengths, passes over the table, the step of descent and the score without evidence.
-BUCKETS, GRAMS, PASSES, STEP, BIAS = 4096, (3, 4, 5), 15, 1.0, -2.0
+#: Hashed n-grams, their lengths, passes over the table, the step of descent, the score without evidence, and what is left of the weights after each step.
+BUCKETS, GRAMS, PASSES, STEP, BIAS, DECAY = 4096, (3, 4, 5), 15, 1.0, -1.5, 0.9995
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
 BAD = (
@@ -92,7 +92,8 @@ def train(spark: SparkSession, table: list[tuple[str, int]] | None = None) -> li
 
     def learn(w: Column, e: Column) -> Column:
         push = F.array(F.lit(STEP) * (e["y"] - logistic(raw_score(w, e["h"], e["p"]))))  # computed once for all weights
-        return F.transform(push, lambda m: F.zip_with(w, e["x"], lambda v, x: v + m * x))[0]
+        kept = lambda v, i: F.when(i < BUCKETS, DECAY * v).otherwise(v)
+        return F.transform(push, lambda m: F.zip_with(F.transform(w, kept), e["x"], lambda v, x: v + m * x))[0]
 
     turns = F.sequence(F.lit(1), F.lit(PASSES))
     return examples.select(F.aggregate(turns, start, lambda w, _: F.aggregate("table", w, learn)).alias("w")).first()["w"]
