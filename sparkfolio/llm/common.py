@@ -44,25 +44,33 @@ def fold_of(doc_id: Column | str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
+def texts_of(column: pa.Array) -> list[str]:
     """The column's texts, null as the empty text."""
-    return [t or "" for t in batch.column(name).to_pylist()]
+    return [t or "" for t in column.to_pylist()]
 
 
 def map_texts(
-    df: DataFrame, keys: list[str], start: Callable[[], Callable[[list[str]], dict[str, pa.Array]]], schema: str
+    df: DataFrame,
+    keys: list[str],
+    start: Callable[[], Callable[[list[str]], dict[str, pa.Array]]],
+    schema: str,
+    text: str = "text",
+    with_text: bool = False,
 ) -> DataFrame:
-    """keys and text of df, mapped batch by batch in Arrow; start() runs once a task and returns the function of texts."""
+    """keys and the column text of df, mapped batch by batch in Arrow; start() runs once a task and returns the function of texts.
+
+    with_text: the column goes along as it is, last.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for b in batches:
             for at in range(0, b.num_rows, 512):  # bounded memory beside the batch
                 part = b.slice(at, 512)
-                made = work(texts_of(part))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(k) for k in keys] + list(made.values()), names=keys + list(made)
-                )
+                made = work(texts_of(part.column(len(keys))))
+                columns = part.columns[: len(keys)] + list(made.values()) + [part.column(len(keys))] * with_text
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, *made] + [text] * with_text)
 
     kinds = dict(df.dtypes)
-    return df.select(*keys, "text").mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), schema]))
+    out = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), schema] + [f"`{text}` string"] * with_text)
+    return df.select(*(F.col(f"`{k}`") for k in [*keys, text])).mapInArrow(run, out)

@@ -90,6 +90,22 @@ def dedup(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
     )
 
 
+def keep_one_of_equals(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with their columns; of rows that repeat both identifier and text one stays."""
+    stay = cut(dedup(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n_rows")))
+    own = F.sha2(squeezed().cast("binary"), 256)
+
+    def of(rows: DataFrame) -> DataFrame:
+        return docs.join(rows, docs["doc_id"].eqNullSafe(rows["doc_id"]) & (own == rows["text_sha256"]), "left_semi")
+
+    repeated = stay.where("n_rows > 1")
+    if repeated.isEmpty():
+        return of(stay)
+    longest = F.struct(F.length("text").alias("n"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    one = of(repeated).groupBy("doc_id", own.alias("own")).agg(F.max_by(longest["row"], longest["n"]).alias("row"))
+    return of(stay.where("n_rows = 1")).unionByName(one.select("row.*"))
+
+
 ORACLE = r"""
     WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS own FROM documents)
     SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY own) AS group_size,

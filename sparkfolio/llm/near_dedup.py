@@ -273,4 +273,10 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
         low = high
     member = sketches.join(classes.select("digest", "rep"), "digest", "left").join(labels, "rep", "left")
     component = F.coalesce("label", "rep", "doc_id")
-    return member.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return member.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one_of_near(docs: DataFrame, words: int = 5) -> DataFrame:
+    """The rows of docs that stay, with their columns: of each component the one with the least doc_id."""
+    kept = near_duplicates(docs, words).where("kept").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")

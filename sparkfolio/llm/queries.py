@@ -11,10 +11,12 @@ from sparkfolio.llm.bpe import bpe_encode
 from sparkfolio.llm.common import fold_of, table
 from sparkfolio.llm import exact_dedup
 from sparkfolio.llm.exact_dedup import dedup
+from sparkfolio.llm.html_extract import extract_text
 from sparkfolio.llm.language_id import identify_language, learn_languages
 from sparkfolio.llm.mixing import mix_report
 from sparkfolio.llm.near_dedup import near_duplicates
 from sparkfolio.llm.ogg import store_as_ogg
+from sparkfolio.llm.secret_scan import scan_secrets
 from sparkfolio.llm.toxicity import learn_toxicity, score_toxicity
 from sparkfolio.llm.url_filter import judge_urls
 
@@ -34,6 +36,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 @query
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), vocabulary(), ["doc_id"])
@@ -76,6 +83,11 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+@query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

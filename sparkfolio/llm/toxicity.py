@@ -134,8 +134,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     return fit_machine([np.asarray(ids[k].values) for k in order], [y[k] for k in order])
 
 
-def score_toxicity(docs: DataFrame, machine: Machine, keys: list[str]) -> DataFrame:
-    """keys of docs with score and predicted, of the whole text."""
+def score_toxicity(docs: DataFrame, machine: Machine, keys: list[str], with_text: bool = False) -> DataFrame:
+    """keys of docs with score and predicted, of the whole text, and the text itself if asked for."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def start():
@@ -147,4 +147,14 @@ def score_toxicity(docs: DataFrame, machine: Machine, keys: list[str]) -> DataFr
 
         return work
 
-    return map_texts(docs, keys, start, "score double, predicted int")
+    return map_texts(docs, keys, start, "score double, predicted int", with_text=with_text)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs whose predicted is 0, with their columns; the machine is learned from the labelled rows of docs."""
+    machine = learn_toxicity(docs, labels)
+    names = docs.columns
+    docs = docs.withColumnsRenamed({n: f"own {n}" for n in ("score", "predicted")})  # columns of these names stay as they were
+    scored = score_toxicity(docs, machine, [n for n in docs.columns if n != "text"], with_text=True)
+    kept = scored.where("predicted = 0").drop("score", "predicted").withColumnsRenamed({f"own {n}": n for n in ("score", "predicted")})
+    return kept.select(*(f"`{n}`" for n in names))
