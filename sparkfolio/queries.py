@@ -1,43 +1,7 @@
-"""Registry of the engine's own queries and their SQL twins."""
+"""All queries of the engine itself: importing the plans registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register the decorated function under its name, with its SQL twin if there is one."""
-
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query(
-    """
-    SELECT lang, source, count(*) AS n_docs, CAST(sum(len(regexp_extract_all(text, '[0-9]{3}-[0-9]{4}'))) AS BIGINT) AS n_hits
-    FROM documents GROUP BY lang, source
-    """
-)
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and hits of a phone-like pattern per language and source."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.groupBy("lang", "source").agg(
-        F.count("*").alias("n_docs"),
-        F.sum(F.regexp_count("text", F.lit("[0-9]{3}-[0-9]{4}"))).cast("bigint").alias("n_hits"),
-    )
+from sparkfolio.plans import analysis, exports, findings, layouts, readers, searches, store, text  # noqa: F401
+from sparkfolio.plans.searches import flagship  # noqa: F401
+from sparkfolio.registry import ORACLES, QUERIES, Query, query, table  # noqa: F401
