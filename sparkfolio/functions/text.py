@@ -113,7 +113,7 @@ def yaml(c: Column) -> Column:
 
 def size_text(n: Column) -> Column:
     """Bytes for people: B, kB, MB, GB in thousands."""
-    return F.when(n < 1000, F.format_string("%d B", n.cast("bigint"))).when(n < 1e6, F.format_string("%.1f kB", n / 1e3)).when(n < 1e9, F.format_string("%.1f MB", n / 1e6)).otherwise(F.format_string("%.1f GB", n / 1e9))
+    return F.when(n < 1000, F.format_string("%d B", n.cast("bigint"))).when(n < 1e6, F.format_string("%.1f kB", F.round(n / 1e3, 1))).when(n < 1e9, F.format_string("%.1f MB", F.round(n / 1e6, 1))).otherwise(F.format_string("%.1f GB", F.round(n / 1e9, 1)))
 
 
 def duration_text(ms: Column) -> Column:

@@ -1 +1,127 @@
-"""Queries."""
+"""Queries of geometry, columns, tables and reading order; customers and parts give boxes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from sparkfolio.functions.geometry import bounds, box, iou
+from sparkfolio.operators.layout import blocks_of_pages
+from sparkfolio.registry import query, table
+
+BOXES = "b AS (SELECT p_partkey AS id, p_partkey // 20 AS page, CAST(p_partkey % 7 * 100 AS DOUBLE) AS x0, CAST(p_partkey % 5 * 40 AS DOUBLE) AS y0, p_partkey % 7 * 100 + p_size * 4.0::DOUBLE AS x1, CAST(p_partkey % 5 * 40 + 30 AS DOUBLE) AS y1 FROM part)"
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes on pages of twenty."""
+    k = F.col("p_partkey")
+    x0, y0 = (k % 7 * 100).cast("double"), (k % 5 * 40).cast("double")
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.floor(k / 20).cast("bigint").alias("page"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("p_size") * 4.0).alias("x1"), (y0 + 30).alias("y1"))
+
+
+@query(
+    f"""
+    WITH {BOXES}, p AS (SELECT a.page, a.id AS a, b.id AS b, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS i,
+          (a.x1 - a.x0) * (a.y1 - a.y0) AS s, (b.x1 - b.x0) * (b.y1 - b.y0) AS t FROM b a JOIN b ON a.page = b.page AND a.id < b.id)
+    SELECT page, a, b, round(i / (s + t - i), 8) AS iou FROM p WHERE i > 0
+    """
+)
+def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of a page that overlap: pages have twenty boxes each, so their pairs are bounded."""
+    b = boxes(spark, sf_dir)
+    left, right = b.select("page", *(F.col(c).alias(f"a_{c}") for c in ("id", "x0", "y0", "x1", "y1"))), b.select("page", *(F.col(c).alias(f"b_{c}") for c in ("id", "x0", "y0", "x1", "y1")))
+    pairs = left.join(right, "page").where("a_id < b_id")
+    return pairs.select("page", F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(iou(box("a_"), box("b_")), 8).alias("iou")).where("iou > 0")
+
+
+@query(f"WITH {BOXES} SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM b GROUP BY page")
+def page_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boxes(spark, sf_dir).groupBy("page").agg(*bounds())
+
+
+@query(
+    f"""
+    WITH {BOXES}, e AS (SELECT page, x0 AS x, 1 AS s FROM b UNION ALL SELECT page, x1, -1 FROM b),
+    g AS (SELECT page, x, sum(s) AS s FROM e GROUP BY page, x),
+    r AS (SELECT page, x, sum(s) OVER (PARTITION BY page ORDER BY x) AS n, lead(x) OVER (PARTITION BY page ORDER BY x) AS after FROM g),
+    k AS (SELECT *, n >= 2 AND coalesce(lag(n) OVER (PARTITION BY page ORDER BY x), 0) < 2 AS opens FROM r),
+    i AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY x) AS band FROM k)
+    SELECT page, CAST(band AS BIGINT) AS band, min(x) AS x0, max(after) AS x1 FROM i WHERE n >= 2 GROUP BY page, band
+    """
+)
+def column_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches that two boxes of a page or more cover, by a sweep over edges."""
+    b = boxes(spark, sf_dir)
+    edges = b.select("page", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("s")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("s")))).alias("e"))
+    w = Window.partitionBy("page").orderBy("x")
+    steps = edges.groupBy("page", F.col("e.x").alias("x")).agg(F.sum("e.s").alias("s"))
+    steps = steps.select("page", "x", F.sum("s").over(w).alias("n"), F.lead("x").over(w).alias("after"))
+    opens = (F.col("n") >= 2) & (F.coalesce(F.lag("n").over(w), F.lit(0)) < 2)
+    steps = steps.withColumn("opens", opens.cast("bigint"))
+    return steps.withColumn("band", F.sum("opens").over(w)).where("n >= 2").groupBy("page", "band").agg(F.min("x").alias("x0"), F.max("after").alias("x1"))
+
+
+@query(
+    f"""
+    WITH {BOXES}, o AS (SELECT page, y0, x0 - lag(x1) OVER (PARTITION BY page, y0 ORDER BY x0, id) AS gap FROM b),
+    s AS (SELECT page, list_sort(list(gap) FILTER (gap > 0)) AS g FROM o GROUP BY page)
+    SELECT page, greatest(0.75 * 30, 1, 2 * g[CAST(floor((len(g) - 1) * 0.25 + 0.5) AS BIGINT) + 1]) AS gutter FROM s WHERE len(g) > 0
+    """
+)
+def gutter_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twice the lower quartile of a page's gaps, three quarters of the height of text at least."""
+    w = Window.partitionBy("page", "y0").orderBy("x0", "id")
+    gaps = boxes(spark, sf_dir).withColumn("gap", F.col("x0") - F.lag("x1").over(w)).where("gap > 0")
+    by = gaps.groupBy("page").agg(F.sort_array(F.collect_list("gap")).alias("g"))
+    quarter = F.get("g", F.floor((F.size("g") - 1) * 0.25 + 0.5).cast("int"))
+    return by.select("page", F.greatest(F.lit(22.5), 2 * quarter).alias("gutter"))
+
+
+@query(
+    f"""
+    WITH {BOXES}, c AS (SELECT unnest(range(7)) AS k), p AS (SELECT id, k, least(x1, k * 100 + 80) - greatest(x0, k * 100) AS o, least(80, x1 - x0) AS n FROM b, c)
+    SELECT id, CAST(min(k) AS INT) AS col, CAST(max(k) - min(k) + 1 AS INT) AS span FROM p WHERE n > 0 AND o >= 0.2 * n GROUP BY id
+    """
+)
+def cell_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that each box falls into: those it overlaps by a fifth of the narrower."""
+    columns = F.array(*(F.lit(k) for k in range(7)))
+    narrow = F.least(F.lit(80.0), F.col("x1") - F.col("x0"))
+    hit = F.filter(columns, lambda k: (narrow > 0) & (F.least("x1", k * 100 + 80.0) - F.greatest("x0", k * 100.0) >= 0.2 * narrow))
+    b = boxes(spark, sf_dir).withColumn("hit", hit).where(F.size("hit") > 0)
+    return b.select("id", F.array_min("hit").alias("col"), (F.array_max("hit") - F.array_min("hit") + 1).alias("span"))
+
+
+def tables_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of twenty parts printed as price lists: name, size and price in columns."""
+    p = table(spark, sf_dir, "part").withColumn("page", F.floor(F.col("p_partkey") / 20).cast("bigint"))
+    y = 200.0 + F.pmod("p_partkey", F.lit(20)) * 45.0
+    cell = lambda text, x: F.struct(text.alias("text"), F.lit(float(x)).alias("x0"), y.alias("y0"), (F.lit(float(x)) + F.length(text) * 9.0).alias("x1"), (y + 30).alias("y1"), F.lit(0.98).alias("confidence"))
+    cells = F.array(cell(F.col("p_name"), 100), cell(F.col("p_size").cast("string"), 800), cell(F.format_string("%.2f", "p_retailprice"), 1200))
+    rows = p.select("page", F.explode(cells).alias("c"))
+    return rows.groupBy("page").agg(F.lit(1654.0).alias("width"), F.sort_array(F.collect_list("c")).alias("boxes"))
+
+
+@query("SELECT p_partkey // 20 AS page, count(*) AS n_rows, 3 AS n_columns, sum(p_size) AS total FROM part GROUP BY 1 HAVING count(*) >= 3")
+def table_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables found on pages, with the sum of their second column."""
+    found = blocks_of_pages(tables_of_parts(spark, sf_dir)).where("kind = 'table'")
+    second = F.aggregate(F.filter("cells", lambda c: c["column"] == 1), F.lit(0).cast("bigint"), lambda n, c: n + c["text"].try_cast("bigint"))
+    return found.select("page", F.col("n_rows").cast("bigint").alias("n_rows"), "n_columns", second.alias("total"))
+
+
+@query("SELECT o_custkey AS page, string_agg(o_orderkey::VARCHAR, ' ' ORDER BY o_orderkey) AS words FROM orders GROUP BY o_custkey HAVING count(*) >= 8")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in two columns, given in no order, read column by column."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page"), "o_orderkey")
+    w = Window.partitionBy("page").orderBy("o_orderkey")
+    o = o.withColumns({"k": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy("page"))}).where("n >= 8")
+    half = F.ceil(F.col("n") / 2)
+    x = F.when(F.col("k") < half, 100.0).otherwise(900.0)
+    y = 200.0 + F.pmod("k", half) * 40.0
+    b = F.struct(F.col("o_orderkey").cast("string").alias("text"), x.alias("x0"), y.alias("y0"), (x + 500).alias("x1"), (y + 30).alias("y1"), F.lit(0.98).alias("confidence"))
+    pages = o.groupBy("page").agg(F.lit(1654.0).alias("width"), F.array_sort(F.collect_list(b)).alias("boxes"))
+    blocks = blocks_of_pages(pages)
+    by = blocks.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("block_ord", "text"))).alias("b"))
+    return by.select("page", F.regexp_replace(F.array_join(F.transform("b", lambda b: b["text"]), " "), "\n", " ").alias("words"))

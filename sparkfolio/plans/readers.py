@@ -1 +1,62 @@
-"""Queries."""
+"""Queries of readers over the stored pages and documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkfolio.operators.terms import mapped
+from sparkfolio.registry import query, table
+from sparkfolio.sources.files import container, notes_of
+from sparkfolio.sources.html_reader import html_note, links
+from sparkfolio.sources.notes import plain_of
+
+
+@query(r"""SELECT page_id, regexp_extract(html, '<html lang="([a-z]+)', 1) AS lang, length(html) AS n_chars FROM pages""")
+def html_title_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", '<html lang="([a-z]+)', 1).alias("lang"), F.length("html").cast("bigint").alias("n_chars"))
+
+
+@query(r"""SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href FROM pages""")
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of links, as they stand."""
+    return mapped(table(spark, sf_dir, "pages"), "page_id", "html", "href string", lambda h: [{"href": a} for a, _ in links(h)])
+
+
+@query()
+def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of each page's content."""
+
+    def each(text: str) -> list[dict]:
+        return [{"block_ord": k, "kind": b.kind, "level": b.level, "text": b.text} for k, b in enumerate(html_note(text).blocks)]
+
+    return mapped(table(spark, sf_dir, "pages"), "page_id", "html", "block_ord int, kind string, level int, text string", each)
+
+
+@query()
+def html_block_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def each(text: str) -> list[dict]:
+        return [{"n_blocks": sum(bool(plain_of([b]).strip()) for b in html_note(text).blocks)}]
+
+    return mapped(table(spark, sf_dir, "pages"), "page_id", "html", "n_blocks bigint", each)
+
+
+@query()
+def html_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as notes: status, title and Markdown."""
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
+    return notes_of(pages).select("path", "status", "title", "markdown")
+
+
+@query()
+def text_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read as text files: the number of blocks of each kind."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
+    kinds = notes_of(docs).select("path", F.explode(F.transform("blocks", lambda b: b["kind"])).alias("kind"))
+    return kinds.groupBy("path", "kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN starts_with(text, '%PDF') THEN 'pdf' WHEN starts_with(text, 'BM') THEN 'bmp' ELSE 'other' END AS container, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def container_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("text").cast("binary").alias("content"))
+    return docs.groupBy(container().alias("container")).agg(F.count("*").alias("n"))

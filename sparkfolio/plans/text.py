@@ -78,12 +78,12 @@ def cell_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     rf"""
     WITH {LINES}, n AS (SELECT doc_id, block_ord, line_ord, text, lead(text) OVER (PARTITION BY doc_id, block_ord ORDER BY line_ord) AS after FROM lines)
     SELECT doc_id, CAST(block_ord AS INT) AS block_ord, CAST(line_ord AS INT) AS line_ord, text, after FROM n
-    WHERE regexp_matches(text, '[a-zA-Z,]$') AND regexp_matches(after, '^[a-z]')
+    WHERE regexp_matches(text, '[a-z.,]$') AND regexp_matches(after, '^[A-Za-z]')
     """
 )
 def hyphen_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that the next one may carry on, found within the block's array."""
-    return hyphenated(table(spark, sf_dir, "documents"), "[a-zA-Z,]$", "^[a-z]")
+    return hyphenated(table(spark, sf_dir, "documents"), "[a-z.,]$", "^[A-Za-z]")
 
 
 @query(
@@ -95,7 +95,7 @@ def hyphen_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def paragraph_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in order, parted where the step to the next is wide: as lines become paragraphs."""
-    e = table(spark, sf_dir, "events").withColumn("at", F.unix_micros("ts"))
+    e = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
     parts = islands(e, "user_id", ["at", "event_id"], F.col("at"), 3600 * 1_000_000)
     return parts.groupBy("user_id", "part").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
@@ -106,7 +106,7 @@ def shard_crc32(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").where(t.shard(F.col("url"), 2, 5)).select("page_id", "url")
 
 
-@query("SELECT doc_id, CASE WHEN n < 1000 THEN n || ' B' WHEN n < 1000000 THEN printf('%.1f kB', n / 1e3) ELSE printf('%.1f MB', n / 1e6) END AS size, (n % 3) || CASE WHEN n % 3 = 1 THEN ' page' ELSE ' pages' END AS pages FROM (SELECT doc_id, n_chars AS n FROM documents)")
+@query("SELECT doc_id, CASE WHEN n < 1000 THEN n || ' B' WHEN n < 1000000 THEN printf('%.1f kB', round(n / 1e3, 1)) ELSE printf('%.1f MB', round(n / 1e6, 1)) END AS size, (n % 3) || CASE WHEN n % 3 = 1 THEN ' page' ELSE ' pages' END AS pages FROM (SELECT doc_id, n_chars AS n FROM documents)")
 def human_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", t.size_text(F.col("n_chars")).alias("size"), t.count_text(F.pmod("n_chars", F.lit(3)), "page").alias("pages"))
 
