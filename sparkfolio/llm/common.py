@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders in the shared folder that the calls of settled() now under way have asked for, innermost last.
+OPEN = threading.local()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
@@ -28,7 +33,10 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="shared-")
-    return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    if frames := getattr(OPEN, "frames", None):
+        frames[-1].append(path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -38,6 +46,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of the shared folder, on whatever file system it is."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)  # noqa: SLF001
+        path.getFileSystem(conf).delete(path, True)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make returns, written to the shared folder; the folders that were asked for meanwhile are deleted then."""
+    frames = OPEN.__dict__.setdefault("frames", [])
+    own: list[str] = []
+    frames.append(own)
+    try:
+        df = make()
+    finally:
+        frames.pop()
+    out = cut(df)
+    drop(spark, own)
+    return out
+
+
 def fold_of(doc_id: Column | str, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null doc_id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.common import SPACES, cut, shared_folder
+from sparkfolio.llm.common import SPACES, cut, settled, shared_folder
 
 
 def squeezed(text: str = "text") -> Column:
@@ -71,7 +71,7 @@ def dedup(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row of docs."""
     docs = docs.select("doc_id", "text")
     rows = cut(arrivals(docs, digest_bits))
-    state = cut(stream_into_state(rows, shared_folder(docs.sparkSession)))
+    state = settled(docs.sparkSession, lambda: stream_into_state(rows, shared_folder(docs.sparkSession)))
     judged = rows.join(state, "digest")
 
     # the bytes of every hit, read again by locator; a row for each digest and task meets in the shuffle
@@ -92,7 +92,7 @@ def dedup(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
 
 def keep_one_of_equals(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with their columns; of rows that repeat both identifier and text one stays."""
-    stay = cut(dedup(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n_rows")))
+    stay = settled(docs.sparkSession, lambda: dedup(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n_rows")))
     own = F.sha2(squeezed().cast("binary"), 256)
 
     def of(rows: DataFrame) -> DataFrame:

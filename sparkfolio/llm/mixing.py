@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from sparkfolio.llm.common import cut
+from sparkfolio.llm.common import cut, settled
 
 #: Words of a block, slots of an output shard, rows of a bucket, rounds of the permutation, cells of the draw, and the seed of all draws.
 BLOCK, SHARD, BUCKET_ROWS, ROUNDS, CELLS, SEED = 128, 1024, 4096, 8, 1024, 20_250
@@ -180,9 +180,13 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     A document that is taken whole keeps its text as it is. n_chars, where docs has it, is that of the new text.
     """
     numbered = cut(docs.withColumn("mix_row_no", F.monotonically_increasing_id()))
-    _, pieces = mix(numbered, "mix_row_no")
     size = F.size("words_of")
-    got = pieces.select("row_no", F.struct("at", "words", "times").alias("p")).groupBy("row_no").agg(F.sort_array(F.collect_list("p")).alias("mix_pieces"))
+
+    def of_rows() -> DataFrame:
+        pieces = mix(numbered, "mix_row_no")[1].select("row_no", F.struct("at", "words", "times").alias("p"))
+        return pieces.groupBy("row_no").agg(F.sort_array(F.collect_list("p")).alias("mix_pieces"))
+
+    got = settled(docs.sparkSession, of_rows)
     both = numbered.join(got, numbered.mix_row_no == got.row_no).drop("row_no", "mix_row_no")
     both = both.withColumn("mix_pass", F.explode(F.sequence(F.lit(1).cast("bigint"), F.array_max(F.transform("mix_pieces", lambda p: p["times"])))))
     own = F.filter("mix_pieces", lambda p: p["times"] >= F.col("mix_pass"))

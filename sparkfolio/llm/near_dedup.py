@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.common import cut, map_texts
+from sparkfolio.llm.common import cut, map_texts, settled
 
 TREES, DEPTH, LIMIT, PIVOTS, KEEP = 12, 4, 48, 4, 24
 #: Trees up to which each round goes; components are contracted in between.
@@ -235,14 +235,11 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs; shingles have so many words."""
+def linked(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """rep and label of the classes that have links: the least rep of their component."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    sketches = cut(sketch(docs, words))
-    classes = cut(sketches.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "path", "sig")).alias("x")).select("digest", F.col("x.doc_id").alias("rep"), "x.n", "x.path", "x.sig"))
     with small_batches(spark, 1000):
-        parts = cut(likely(nodes(classes)).withColumn("node", F.xxhash64("members")))
+        parts = settled(spark, lambda: likely(nodes(classes)).withColumn("node", F.xxhash64("members")))
     wanted = parts.select(F.explode("members").alias("rep")).distinct().join(classes.select("rep", "digest"), "rep")
 
     def start():
@@ -269,8 +266,17 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
             new = cut(confirm(some, sets))
         links = new if links is None else links.unionByName(new)
         if low == 0 or not new.isEmpty():
-            labels = components(links)
+            labels = settled(spark, lambda links=links: components(links))
         low = high
+    return labels
+
+
+def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of docs; shingles have so many words."""
+    docs = docs.select("doc_id", "text")
+    sketches = cut(sketch(docs, words))
+    classes = cut(sketches.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "path", "sig")).alias("x")).select("digest", F.col("x.doc_id").alias("rep"), "x.n", "x.path", "x.sig"))
+    labels = settled(docs.sparkSession, lambda: linked(docs, classes, words))
     member = sketches.join(classes.select("digest", "rep"), "digest", "left").join(labels, "rep", "left")
     component = F.coalesce("label", "rep", "doc_id")
     return member.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -278,5 +284,5 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
 
 def keep_one_of_near(docs: DataFrame, words: int = 5) -> DataFrame:
     """The rows of docs that stay, with their columns: of each component the one with the least doc_id."""
-    kept = near_duplicates(docs, words).where("kept").select("doc_id").distinct()
+    kept = settled(docs.sparkSession, lambda: near_duplicates(docs, words).where("kept").select("doc_id").distinct())
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
