@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkfolio.llm.bpe import bpe_encode
-from sparkfolio.llm.common import cut, table
+from sparkfolio.llm.common import settled, table
 from sparkfolio.llm.exact_dedup import keep_one_of_equals
 from sparkfolio.llm.mixing import mix_documents
 from sparkfolio.llm.near_dedup import keep_one_of_near
@@ -55,7 +55,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents, each written to the shared folder and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = cut(docs)
+            docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        else:
+            docs = stage(spark, docs, sf_dir)
     return docs
