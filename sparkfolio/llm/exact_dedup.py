@@ -22,6 +22,13 @@ from pyspark.sql import functions as F
 
 from sparkfolio.llm.common import SPACES, cut, settled, shared_folder
 
+#: State in RocksDB. Stores of a finished run are closed soon, and files aren't allocated ahead, so that many small stores take little disk.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "3s",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
 
 def squeezed(text: str = "text") -> Column:
     """The text without white space, null as the empty text."""
@@ -51,9 +58,9 @@ def stream_into_state(rows: DataFrame, folder: str) -> DataFrame:
     """Take the files of rows, a table in the shared folder, into the state below folder; the state as digest, keep_id, n_rows."""
     spark = rows.sparkSession
     path = rows.inputFiles()[0].rsplit("/", 1)[0]
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(rows.schema).parquet(path)
         state = stream.groupBy("digest").agg(F.max(best_of()).alias("best"), F.count("*").alias("n_rows"))
@@ -64,7 +71,8 @@ def stream_into_state(rows: DataFrame, folder: str) -> DataFrame:
         best, count = (F.col("value").getField(k) for k in kinds[:2])
         return kept.select(F.col("key.digest").alias("digest"), (-best["back"]).alias("keep_id"), count.alias("n_rows"))
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def dedup(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
