@@ -6,8 +6,15 @@ under the tree's hash of that level: two sets of similarity s go to the same chi
 probability s. A node of LIMIT members at most is a leaf, whose members are compared exhaustively.
 A larger node branches on, DEPTH levels deep. It is also dealt into chunks of LIMIT members, each
 with the same PIVOTS, so that a large group of near copies, which no branching splits, is joined
-through its pivots in linear work. Trees are repeated: at similarity 0.8 a leaf on the first level
-holds a pair with probability 0.8, and TREES trees miss it with probability 0.2 ** TREES.
+through its pivots in linear work. Classes in a node that is still larger than LIMIT on level CROWD
+are crowded: an exact prefix-filter join over all of them finds every link between two components
+that is left. A pair in one node of level CROWD, or in a leaf before it, is thus compared in any
+case: of pairs at similarity 0.8, a tree brings 0.8 ** 2 so far, and TREES trees miss 0.36 ** TREES.
+
+The exact join orders the shingles of a set by how many crowded sets have them, rarest first. Two
+sets that need t shingles in common have their first common one among the first n - t + 1 of each;
+what lies behind it must suffice for t. Shingles that a whole family shares come last, so that they
+propose no pairs; the order is by counts of hash buckets, which decides the work, never the result.
 
 Within a node, short signatures first rule out pairs that are far apart (KEEP of 48 positions equal
 at least, at 0.8 below by chance once in 100,000). Links are confirmed on full sets, which travel to
@@ -34,6 +41,8 @@ from pyspark.sql import functions as F
 from sparkfolio.llm.common import cut, map_texts, settled
 
 TREES, DEPTH, LIMIT, PIVOTS, KEEP = 12, 4, 48, 4, 24
+#: Level on which members of large nodes are crowded, bits of a bucket of shingles, entries of a block of a shingle's list.
+CROWD, BUCKET, BLOCK = 1, 20, 512
 #: Trees up to which each round goes; components are contracted in between.
 ROUNDS = (2, 6, TREES)
 SIGNATURE = TREES * DEPTH
@@ -131,8 +140,8 @@ def joined(n: int, linked: Callable[[int, int], bool]) -> list[tuple[int, int]]:
     return links
 
 
-def nodes(classes: DataFrame) -> DataFrame:
-    """tree and members (rep, n, sig) of all nodes that may hold a link."""
+def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """tree and members (rep, n, sig) of the leaves and chunks that may hold a link, and rep of the crowded classes."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     rows = classes.select("rep", "n", "sig", "path", tree)
     token = lambda level: F.element_at("path", F.col("tree") * DEPTH + level + 1)
@@ -144,6 +153,8 @@ def nodes(classes: DataFrame) -> DataFrame:
         rows = rows.join(counts, "node")
         found.append(rows.where(F.col("size") <= LIMIT).groupBy("node", "tree").agg(F.collect_list(member).alias("members")).drop("node"))
         rows = cut(rows.where(F.col("size") > LIMIT))
+        if level == CROWD:
+            crowd = rows.select("rep").distinct()
         if level in (0, DEPTH - 1):  # groups that no branching splits
             chunks = F.ceil(F.col("size") / LIMIT).cast("int")
             pivots = [F.min(F.struct(F.xxhash64("rep", F.lit(level), F.lit(k)).alias("turn"), member.alias("member"))).alias(f"p{k}") for k in range(PIVOTS)]
@@ -157,7 +168,7 @@ def nodes(classes: DataFrame) -> DataFrame:
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
+    return out, crowd
 
 
 def likely(found: DataFrame) -> DataFrame:
@@ -191,6 +202,16 @@ def likely(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "tree int, members array<bigint>").groupBy("members").agg(F.min("tree").alias("tree"))
 
 
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets have a similarity of 0.8 or more."""
+    if 100 * min(len(a), len(b)) < 80 * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= 80 * (len(both) - same)
+
+
 def confirm(parts: DataFrame, sets: DataFrame) -> DataFrame:
     """Links a, b between members of the same part with similarity 0.8 or more on full sets, enough to join all that are linked."""
     rows = parts.select("node", F.explode("members").alias("rep")).join(sets, "rep")
@@ -203,21 +224,99 @@ def confirm(parts: DataFrame, sets: DataFrame) -> DataFrame:
                 reps = members.values.field("rep").to_pylist()
                 own = [np.frombuffer(x.as_buffer(), np.uint64) for x in members.values.field("shingles")]
 
-                def linked(i: int, j: int, own: list[np.ndarray] = own) -> bool:
-                    a, c = own[i], own[j]
-                    if 100 * min(len(a), len(c)) < 80 * max(len(a), len(c)):
-                        return False
-                    both = np.concatenate([a, c])
-                    both.sort(kind="stable")
-                    same = int((both[1:] == both[:-1]).sum())
-                    return 100 * same >= 80 * (len(both) - same)
-
-                links += [(reps[i], reps[j]) for i, j in joined(len(reps), linked)]
+                links += [(reps[i], reps[j]) for i, j in joined(len(reps), lambda i, j, own=own: similar(own[i], own[j]))]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return groups.select("members").mapInArrow(run, "a bigint, b bigint")
 
 
+def bucket_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of sets fall into each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << BUCKET, np.int64)
+        for b in batches:
+            for x in b.column("shingles"):
+                n += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(64 - BUCKET)).astype(np.int64), minlength=1 << BUCKET)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["bucket", "n"])
+
+    got = sets.select("shingles").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << BUCKET, np.int64)
+    out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def proposed(sets: DataFrame) -> DataFrame:
+    """Pairs a, b of the sets (rep, label, shingles) of different labels that may be similar: none that is similar is left out."""
+    spark = sets.sparkSession
+    sent = spark.sparkContext.broadcast(bucket_counts(sets))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = sent.value
+        for b in batches:
+            tokens = []
+            for x in b.column("shingles"):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
+                most = len(s) - -(-4 * len(s) // 5) + 1  # the least that a set of similarity 0.8 has in common
+                tokens.append(s[np.lexsort((s, common[(s >> np.uint64(64 - BUCKET)).astype(np.int64)]))[:most]].view(np.int64))
+            sizes = np.array([len(x.as_buffer()) // 8 for x in b.column("shingles")], np.int64)
+            times = [len(t) for t in tokens]
+            flat = np.concatenate([*tokens, np.empty(0, np.int64)])
+            place = np.concatenate([*map(np.arange, times), np.empty(0, np.int64)])
+            columns = [np.repeat(x, times) for x in (b.column("rep").to_numpy(), b.column("label").to_numpy(), sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(flat), *map(pa.array, columns), pa.array(place)], names=["token", "rep", "label", "n", "place"])
+
+    entries = cut(sets.select("rep", "label", "shingles").mapInArrow(prefixes, "token bigint, rep bigint, label bigint, n bigint, place bigint"))
+    lists = entries.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x != y")
+    rows = entries.join(lists.select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "token")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))  # every block meets every one
+    member = F.struct("rep", "label", "n", "place", "block")
+    met = rows.groupBy("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).agg(F.collect_list(member).alias("members"))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column("members")
+            ends, flat = column.offsets.to_numpy(), column.values
+            rep, label, n, place, block = (flat.field(k).to_numpy() for k in ("rep", "label", "n", "place", "block"))
+            cross = b.column("low").to_numpy() != b.column("high").to_numpy()
+            work = np.cumsum(np.diff(ends).astype(np.int64) ** 2)
+            at = 0
+            while at < len(work):
+                stop = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + (1 << 21), side="right")))
+                e = ends[at : stop + 1]
+                own = np.repeat(np.arange(at, stop), np.diff(e))
+                times = np.repeat(e[1:], np.diff(e)) - np.arange(e[0], e[-1]) - 1
+                x = np.repeat(np.arange(e[0], e[-1]), times)
+                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(times) - times, times)
+                ok = (label[x] != label[y]) & (~np.repeat(cross[own], times) | (block[x] != block[y]))
+                x, y = x[ok], y[ok]
+                ok = 9 * np.minimum(n[x] - place[x], n[y] - place[y]) >= 4 * (n[x] + n[y])
+                ok &= 5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y])
+                x, y = rep[x[ok]], rep[y[ok]]
+                both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+                at = stop
+
+    with small_batches(spark, 256):
+        return cut(met.select("low", "high", "members").mapInArrow(pairs, "a bigint, b bigint").distinct())
+
+
+def links_between(sets: DataFrame) -> DataFrame:
+    """All links a, b between the sets (rep, label, shingles) of different labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = ([np.frombuffer(s.as_buffer(), np.uint64) for s in b.column(k)] for k in ("x", "y"))
+            ok = pa.array([similar(*s) for s in zip(x, y, strict=True)], pa.bool_())
+            yield b.select(["a", "b"]).filter(ok)
+
+    pairs = proposed(sets)
+    full = lambda k, name: sets.select(F.col("rep").alias(k), F.col("shingles").alias(name))
+    return pairs.join(full("a", "x"), "a").join(full("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """rep and label (the least rep reachable) of all ends of the edges a, b: least labels spread along edges, then labels of labels."""
     both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
@@ -238,8 +337,15 @@ def components(edges: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """rep and label of the classes that have links: the least rep of their component."""
     spark = docs.sparkSession
+
+    def meetings() -> DataFrame:
+        found, crowd = nodes(classes)
+        alone = crowd.select(F.array("rep").alias("members"), F.lit(TREES).alias("tree"))
+        return likely(found).unionByName(alone).withColumn("node", F.xxhash64("members"))
+
     with small_batches(spark, 1000):
-        parts = settled(spark, lambda: likely(nodes(classes)).withColumn("node", F.xxhash64("members")))
+        parts = settled(spark, meetings)
+    crowd = parts.where(F.col("tree") == TREES).select(F.col("members")[0].alias("rep"))
     wanted = parts.select(F.explode("members").alias("rep")).distinct().join(classes.select("rep", "digest"), "rep")
 
     def start():
@@ -268,6 +374,11 @@ def linked(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
         if low == 0 or not new.isEmpty():
             labels = settled(spark, lambda links=links: components(links))
         low = high
+    if not crowd.isEmpty():
+        crowded = sets.join(crowd, "rep").join(labels, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"), "shingles")
+        new = settled(spark, lambda: links_between(cut(crowded)))
+        if not new.isEmpty():
+            labels = settled(spark, lambda: components(links.unionByName(new)))
     return labels
 
 

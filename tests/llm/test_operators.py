@@ -366,6 +366,26 @@ def test_a_large_group_of_near_copies_is_one_component(spark):
     assert all(r["component_id"] == (0 if r["doc_id"] < 1000 else r["doc_id"]) for r in got)
 
 
+def borderline_family(words, size=3000, shared=150, own=20, both=2):
+    """A family whose pairs lie just below 0.8, with pairs of neighbours above it: (rows, doc_id -> component)."""
+    text = [f"s{k}" for k in range(shared + words - 1)]
+    rows, want = [], {}
+    for k in range(size):
+        mate = k // 2 * 2 if k < 400 else k  # of the first 400, two each have more words in common
+        tail = [f"m{mate}.{j}" for j in range(both)] + [f"o{k}.{j}" for j in range(own - both)]
+        rows.append((k, " ".join(text + tail)))
+        want[k] = mate
+    return rows, want
+
+
+@pytest.mark.parametrize("words", [2, 5])
+def test_pairs_in_a_large_family_of_borderline_similarity(spark, words):
+    rows, want = borderline_family(words)
+    got = rows_of(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), words))
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert all(r["kept"] == (r["doc_id"] == want[r["doc_id"]]) for r in got)
+
+
 # 9: secrets
 
 
