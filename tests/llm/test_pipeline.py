@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from sparkfolio.llm import mixing
-from tests.llm.test_operators import brute_groups, brute_near
+from tests.llm.test_operators import borderline_family, brute_groups, brute_near
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +57,10 @@ def test_no_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         got = stage(spark, empty, SF)
         assert got.count() == 0
+
+
+def test_near_copies_in_a_large_family_of_borderline_similarity_go(spark):
+    rows, want = borderline_family(5)
+    rows = [(k, "en", "web", t, len(t)) for k, t in rows]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, lang string, source string, text string, n_chars bigint"), SF).collect()
+    assert sorted(tuple(r) for r in got) == sorted(r for r in rows if want[r[0]] == r[0])
