@@ -23,7 +23,9 @@ the others are looked at.
 
 Defined results: a null text or one without words has an empty set and is linked with nothing; a
 text with fewer words than a shingle is one shingle; repeated rows are linked as equal sets; an
-empty table gives an empty result.
+empty table gives an empty result. Rows without a doc_id are linked as all others are, but a
+component takes its id from the least doc_id that is there; where none has one, its component_id is
+null and one of its rows is kept. Rows that share a doc_id may have different texts.
 """
 
 from __future__ import annotations
@@ -89,7 +91,7 @@ def digest(s: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, path (tokens of all trees and levels) and sig (one byte of each)."""
+    """doc_id and text_hash of docs, n_shingles, digest of the set, path (tokens of all trees and levels) and sig (one byte of each)."""
 
     def start():
         hashes = Hashes()
@@ -106,7 +108,7 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
 
         return work
 
-    return map_texts(docs, ["doc_id"], start, "n_shingles bigint, digest binary, path array<int>, sig binary")
+    return map_texts(docs, ["doc_id", "text_hash"], start, "n_shingles bigint, digest binary, path array<int>, sig binary")
 
 
 @contextmanager
@@ -346,7 +348,7 @@ def linked(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     with small_batches(spark, 1000):
         parts = settled(spark, meetings)
     crowd = parts.where(F.col("tree") == TREES).select(F.col("members")[0].alias("rep"))
-    wanted = parts.select(F.explode("members").alias("rep")).distinct().join(classes.select("rep", "digest"), "rep")
+    wanted = parts.select(F.explode("members").alias("rep")).distinct().join(classes.select("rep", "digest", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")), "rep")
 
     def start():
         hashes = Hashes()
@@ -357,9 +359,9 @@ def linked(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
 
         return work
 
-    texts = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
-    sets = map_texts(texts, ["doc_id", "digest"], start, "own binary, shingles binary").where("own = digest")
-    sets = cut(sets.select(F.col("doc_id").alias("rep"), "shingles")).dropDuplicates(["rep"])
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"]) & (docs["text_hash"] == wanted["hash"]))
+    sets = map_texts(texts, ["rep", "digest"], start, "own binary, shingles binary").where("own = digest")
+    sets = cut(sets.select("rep", "shingles")).dropDuplicates(["rep"])
     links, labels, low = None, None, 0
     for high in ROUNDS:
         some = parts.where((F.col("tree") >= low) & (F.col("tree") < high)).select("node", "members")
@@ -382,18 +384,37 @@ def linked(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     return labels
 
 
+def judged(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and kept of every row of docs.
+
+    Classes are known by the number of their first row in the sketches, whatever doc_id says.
+    """
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    sketches = cut(sketch(docs, words).withColumn("row", F.monotonically_increasing_id()))
+    first = F.min(F.struct("row", "doc_id", "text_hash", F.col("n_shingles").alias("n"), "path", "sig")).alias("x")
+    classes = sketches.where("n_shingles > 0").groupBy("digest").agg(first, F.min("doc_id").alias("least_id"))  # min passes over nulls
+    classes = cut(classes.select("digest", F.col("x.row").alias("rep"), "least_id", "x.doc_id", "x.text_hash", "x.n", "x.path", "x.sig"))
+    labels = settled(docs.sparkSession, lambda: linked(docs, classes, words))
+    of = classes.select("digest", "rep", "least_id").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    groups = of.groupBy("label").agg(F.min("least_id").alias("group_id"), F.min("rep").alias("first_row"))
+    of = of.join(groups, "label").select("digest", "group_id", "first_row")
+    rows = sketches.select("doc_id", "text_hash", "n_shingles", "digest", "row").join(of, "digest", "left")
+    component = F.when(F.col("first_row").isNull(), F.col("doc_id")).otherwise(F.col("group_id"))
+    kept = F.when(component.isNotNull(), F.col("doc_id").eqNullSafe(component)).otherwise(F.coalesce(F.col("row") == F.col("first_row"), F.lit(True)))
+    return rows.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs; shingles have so many words."""
-    docs = docs.select("doc_id", "text")
-    sketches = cut(sketch(docs, words))
-    classes = cut(sketches.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "path", "sig")).alias("x")).select("digest", F.col("x.doc_id").alias("rep"), "x.n", "x.path", "x.sig"))
-    labels = settled(docs.sparkSession, lambda: linked(docs, classes, words))
-    member = sketches.join(classes.select("digest", "rep"), "digest", "left").join(labels, "rep", "left")
-    component = F.coalesce("label", "rep", "doc_id")
-    return member.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return judged(docs, words).drop("text_hash")
 
 
 def keep_one_of_near(docs: DataFrame, words: int = 5) -> DataFrame:
-    """The rows of docs that stay, with their columns: of each component the one with the least doc_id."""
-    kept = settled(docs.sparkSession, lambda: near_duplicates(docs, words).where("kept").select("doc_id").distinct())
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """The rows of docs that stay, with their columns: of each component those with the least doc_id, or one where none has a doc_id."""
+    kept = settled(docs.sparkSession, lambda: judged(docs, words).where("kept").select("doc_id", "text_hash", F.expr("doc_id is null and n_shingles > 0").alias("single")).distinct())
+
+    def those(rows: DataFrame, marked: DataFrame) -> DataFrame:
+        return rows.join(marked, rows["doc_id"].eqNullSafe(marked["doc_id"]) & (F.xxhash64(rows["text"]) == marked["text_hash"]), "left_semi")
+
+    nameless = those(docs.where("doc_id is null"), kept.where("single")).dropDuplicates(["text"])
+    return those(docs, kept.where("not single")).unionByName(nameless)

@@ -386,6 +386,18 @@ def test_pairs_in_a_large_family_of_borderline_similarity(spark, words):
     assert all(r["kept"] == (r["doc_id"] == want[r["doc_id"]]) for r in got)
 
 
+def test_rows_without_an_id_are_linked_and_one_is_kept(spark, odd):
+    assert Counter(tuple(r) for r in near_dedup.near_duplicates(odd, 2).collect()) == brute_near(rows_of(odd.select("doc_id", "text")), 2)
+    same, near = " ".join(f"w{k}" for k in range(100)), " ".join(f"w{k}" for k in range(99))
+    alone, almost = " ".join(f"v{k}" for k in range(100)), " ".join(f"v{k}" for k in range(99))
+    rows = [(1, same), (2, same), (None, same), (None, near), (None, alone), (None, alone), (None, almost), (None, "by itself"), (7, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df, 2).collect())
+    assert got == Counter([(1, 1, True), (2, 1, False), (None, 1, False), (None, 1, False), *[(None, None, False)] * 2, *[(None, None, True)] * 3, (7, 7, True)])
+    stay = Counter(tuple(r) for r in near_dedup.keep_one_of_near(df, 2).collect())
+    assert stay in [Counter([(1, same), (None, x), (None, "by itself"), (7, None), (None, None)]) for x in (alone, almost)]
+
+
 # 9: secrets
 
 
