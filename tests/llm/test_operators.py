@@ -398,6 +398,14 @@ def test_rows_without_an_id_are_linked_and_one_is_kept(spark, odd):
     assert stay in [Counter([(1, same), (None, x), (None, "by itself"), (7, None), (None, None)]) for x in (alone, almost)]
 
 
+def test_rows_that_share_an_id_may_have_different_texts(spark):
+    first, second = ([f"{x}{k}" for k in range(100)] for x in "ab")
+    rows = [(5, " ".join(first)), (5, " ".join(second)), (8, " ".join(first[1:])), (9, " ".join(second[1:])), (3, " ".join(second[2:]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter(tuple(r) for r in near_dedup.near_duplicates(df, 2).collect()) == brute_near(rows_of(df), 2)
+    assert Counter(tuple(r) for r in near_dedup.keep_one_of_near(df, 2).collect()) == Counter([rows[0], rows[4]])
+
+
 # 9: secrets
 
 
