@@ -6,10 +6,13 @@ under the tree's hash of that level: two sets of similarity s go to the same chi
 probability s. A node of LIMIT members at most is a leaf, whose members are compared exhaustively.
 A larger node branches on, DEPTH levels deep. It is also dealt into chunks of LIMIT members, each
 with the same PIVOTS, so that a large group of near copies, which no branching splits, is joined
-through its pivots in linear work. Classes in a node that is still larger than LIMIT on level CROWD
-are crowded: an exact prefix-filter join over all of them finds every link between two components
-that is left. A pair in one node of level CROWD, or in a leaf before it, is thus compared in any
-case: of pairs at similarity 0.8, a tree brings 0.8 ** 2 so far, and TREES trees miss 0.36 ** TREES.
+through its pivots in linear work. Nodes that are still larger than LIMIT on level CROWD are split by
+bands of set sizes, two for each class, so that sets whose sizes allow a similarity of 0.8 share a
+band: bands of LIMIT members at most are leaves too. Classes in larger bands are crowded: an exact
+prefix-filter join over those whose band isn't in one component by then finds every link between
+two components that is left. A pair in one node of level CROWD, or in a leaf before it, is thus
+compared in any case: of pairs at similarity 0.8, a tree brings 0.8 ** 2 so far, and TREES trees miss
+0.36 ** TREES.
 
 The exact join orders the shingles of a set by how many crowded sets have them, rarest first. Two
 sets that need t shingles in common have their first common one among the first n - t + 1 of each;
@@ -18,8 +21,8 @@ propose no pairs; the order is by counts of hash buckets, which decides the work
 
 Within a node, short signatures first rule out pairs that are far apart (KEEP of 48 positions equal
 at least, at 0.8 below by chance once in 100,000). Links are confirmed on full sets, which travel to
-a node only if its members aren't yet in one component: the first trees' links are contracted before
-the others are looked at.
+a node only if its members aren't yet in one component. Links of each round are mapped to the
+components found so far; those inside one go, and only what is left is contracted further.
 
 Defined results: a null text or one without words has an empty set and is linked with nothing; a
 text with fewer words than a shingle is one shingle; repeated rows are linked as equal sets; an
@@ -45,6 +48,8 @@ from sparkfolio.llm.common import cut, map_texts, settled
 TREES, DEPTH, LIMIT, PIVOTS, KEEP = 12, 4, 48, 4, 24
 #: Level on which members of large nodes are crowded, bits of a bucket of shingles, entries of a block of a shingle's list.
 CROWD, BUCKET, BLOCK = 1, 20, 512
+#: Band of a set's size: sizes of a ratio of 0.8 are in the same band or in neighbouring ones.
+BAND = "cast(floor(ln(n) / ln(1.2501)) as int)"
 #: Trees up to which each round goes; components are contracted in between.
 ROUNDS = (2, 6, TREES)
 SIGNATURE = TREES * DEPTH
@@ -143,7 +148,7 @@ def joined(n: int, linked: Callable[[int, int], bool]) -> list[tuple[int, int]]:
 
 
 def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """tree and members (rep, n, sig) of the leaves and chunks that may hold a link, and rep of the crowded classes."""
+    """tree and members (rep, n, sig) of the leaves and chunks that may hold a link, and node and rep of the crowded classes."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     rows = classes.select("rep", "n", "sig", "path", tree)
     token = lambda level: F.element_at("path", F.col("tree") * DEPTH + level + 1)
@@ -156,7 +161,11 @@ def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         found.append(rows.where(F.col("size") <= LIMIT).groupBy("node", "tree").agg(F.collect_list(member).alias("members")).drop("node"))
         rows = cut(rows.where(F.col("size") > LIMIT))
         if level == CROWD:
-            crowd = rows.select("rep").distinct()
+            bands = F.explode(F.expr(f"array({BAND}, {BAND} + 1)")).alias("band")
+            banded = rows.select("rep", "n", "sig", "tree", "node", bands).withColumn("node", F.xxhash64("node", "band"))
+            banded = cut(banded.join(banded.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "node"))
+            found.append(banded.where(F.col("size") <= LIMIT).groupBy("node", "tree").agg(F.collect_list(member).alias("members")).drop("node"))
+            crowd = banded.where(F.col("size") > LIMIT).select("node", "rep")
         if level in (0, DEPTH - 1):  # groups that no branching splits
             chunks = F.ceil(F.col("size") / LIMIT).cast("int")
             pivots = [F.min(F.struct(F.xxhash64("rep", F.lit(level), F.lit(k)).alias("turn"), member.alias("member"))).alias(f"p{k}") for k in range(PIVOTS)]
@@ -319,21 +328,50 @@ def links_between(sets: DataFrame) -> DataFrame:
     return pairs.join(full("a", "x"), "a").join(full("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def total_of(labels: DataFrame) -> object:
+    return labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """rep and label (the least rep reachable) of all ends of the edges a, b: least labels spread along edges, then labels of labels."""
-    both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("rep")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
-    total = lambda: labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-    before = total()
+    """rep and label (the least rep reachable) of all ends of the edges a, b.
+
+    Each round hooks every end onto its least neighbour, follows the hooks to their ends, and goes on
+    with the edges that are left between those: their number falls by a large factor each time.
+    """
+    edges = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = None
     while True:
-        spread = both.join(labels, F.col("a") == F.col("rep")).select(F.col("b").alias("rep"), "label")
-        spread = spread.unionByName(labels).groupBy("rep").agg(F.min("label").alias("label"))
-        of = spread.select(F.col("rep").alias("label"), F.col("label").alias("further"))
-        labels = cut(spread.join(of, "label").select("rep", F.least("label", "further").alias("label")))
-        now = total()
-        if now == before:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks = cut(both.groupBy(F.col("a").alias("rep")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
+        before, now = None, total_of(hooks)
+        while before != now:  # hooks lead to smaller numbers, so they end
+            further = hooks.where("rep != label").select(F.col("rep").alias("label"), F.col("label").alias("next"))
+            hooks = cut(hooks.join(further, "label", "left").select("rep", F.coalesce("next", "label").alias("label")))
+            before, now = now, total_of(hooks)
+        labels = hooks if labels is None else cut(mapped(labels, "label", hooks))
+        edges = cut(mapped(mapped(edges, "a", hooks), "b", hooks).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if edges.isEmpty():
             return labels
-        before = now
+
+
+def mapped(rows: DataFrame, column: str, labels: DataFrame) -> DataFrame:
+    """rows with the column's numbers replaced by their labels, where they have one."""
+    of = labels.where("rep != label").select(F.col("rep").alias(column), F.col("label").alias("mapped_to"))
+    return rows.join(of, column, "left").withColumn(column, F.coalesce("mapped_to", column)).select(*rows.columns)
+
+
+def contracted(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (rep, label) with the components joined that the links a, b connect."""
+    if labels is None:
+        return components(links)
+    further = cut(components(mapped(mapped(links, "a", labels), "b", labels)))
+    return mapped(labels, "label", further).unionByName(further.join(labels, "rep", "left_anti"))
+
+
+def split_still(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """node of the rows (node, rep) whose members aren't in one component."""
+    label = mapped(rows.select("node", "rep").withColumn("label", F.col("rep")), "label", labels)
+    return label.groupBy("node").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("node")
 
 
 def linked(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -342,12 +380,12 @@ def linked(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
 
     def meetings() -> DataFrame:
         found, crowd = nodes(classes)
-        alone = crowd.select(F.array("rep").alias("members"), F.lit(TREES).alias("tree"))
-        return likely(found).unionByName(alone).withColumn("node", F.xxhash64("members"))
+        alone = crowd.select(F.array("rep").alias("members"), F.lit(TREES).alias("tree"), "node")
+        return likely(found).withColumn("node", F.xxhash64("members")).unionByName(alone)
 
     with small_batches(spark, 1000):
         parts = settled(spark, meetings)
-    crowd = parts.where(F.col("tree") == TREES).select(F.col("members")[0].alias("rep"))
+    crowd = parts.where(F.col("tree") == TREES).select("node", F.col("members")[0].alias("rep"))
     wanted = parts.select(F.explode("members").alias("rep")).distinct().join(classes.select("rep", "digest", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")), "rep")
 
     def start():
@@ -362,25 +400,22 @@ def linked(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"]) & (docs["text_hash"] == wanted["hash"]))
     sets = map_texts(texts, ["rep", "digest"], start, "own binary, shingles binary").where("own = digest")
     sets = cut(sets.select("rep", "shingles")).dropDuplicates(["rep"])
-    links, labels, low = None, None, 0
+    labels, low = None, 0
     for high in ROUNDS:
         some = parts.where((F.col("tree") >= low) & (F.col("tree") < high)).select("node", "members")
-        if labels is not None:  # those whose members aren't in one component yet
-            rows = some.withColumn("rep", F.explode("members")).join(labels, "rep", "left")
-            label = F.coalesce("label", "rep")
-            open_ = rows.groupBy("node").agg(F.min(label).alias("a"), F.max(label).alias("b")).where("a != b")
-            some = some.join(open_, "node", "left_semi")
+        if labels is not None:
+            some = some.join(split_still(some.select("node", F.explode("members").alias("rep")), labels), "node", "left_semi")
         with small_batches(spark, 64):
             new = cut(confirm(some, sets))
-        links = new if links is None else links.unionByName(new)
-        if low == 0 or not new.isEmpty():
-            labels = settled(spark, lambda links=links: components(links))
+        if labels is None or not new.isEmpty():
+            labels = settled(spark, lambda old=labels, new=new: contracted(old, new))
         low = high
+    crowd = cut(crowd.join(split_still(crowd, labels), "node", "left_semi").select("rep").distinct())
     if not crowd.isEmpty():
-        crowded = sets.join(crowd, "rep").join(labels, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"), "shingles")
+        crowded = mapped(sets.join(crowd, "rep").withColumn("label", F.col("rep")), "label", labels).select("rep", "label", "shingles")
         new = settled(spark, lambda: links_between(cut(crowded)))
         if not new.isEmpty():
-            labels = settled(spark, lambda: components(links.unionByName(new)))
+            labels = settled(spark, lambda: contracted(labels, new))
     return labels
 
 

@@ -366,6 +366,30 @@ def test_a_large_group_of_near_copies_is_one_component(spark):
     assert all(r["component_id"] == (0 if r["doc_id"] < 1000 else r["doc_id"]) for r in got)
 
 
+def test_components_of_chains_stars_and_random_edges(spark):
+    import random
+
+    rnd = random.Random(5)
+    chain = list(range(1000, 1200))
+    rnd.shuffle(chain)
+    edges = [*zip(chain, chain[1:], strict=False), *((k, 3000) for k in range(2000, 2100)), *((rnd.randrange(5000, 5400), rnd.randrange(5000, 5400)) for _ in range(250)), (7, 7), (8, 9), (9, 8)]
+    up = {x: x for e in edges for x in e}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((top(a), top(b)))
+        up[high] = low
+    ends = {x for a, b in edges if a != b for x in (a, b)}
+    got = {r["rep"]: r["label"] for r in near_dedup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {x: top(x) for x in ends}
+    more = near_dedup.contracted(spark.createDataFrame([(2, 1), (1, 1), (4, 3), (3, 3)], "rep bigint, label bigint"), spark.createDataFrame([(2, 4), (9, 10)], "a bigint, b bigint"))
+    assert {r["rep"]: r["label"] for r in more.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9, 10: 9}
+
+
 def borderline_family(words, size=3000, shared=150, own=20, both=2):
     """A family whose pairs lie just below 0.8, with pairs of neighbours above it: (rows, doc_id -> component)."""
     text = [f"s{k}" for k in range(shared + words - 1)]
