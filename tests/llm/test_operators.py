@@ -212,22 +212,58 @@ def test_toxicity_on_held_out_labels(spark):
     assert sum(r["predicted"] == r["toxic"] for r in held) / len(held) > 0.9
 
 
-def test_pairs_are_learned_that_weights_miss():
+def planted_pairs(n, seed):
+    """Insults or groups by themselves, even two, are clean; an insult with a group is toxic."""
     import random
 
-    rnd, terms = random.Random(4), toxicity.Terms()
-    texts, labels = [], []
-    for _ in range(600):
-        a, b = rnd.random() < 0.5, rnd.random() < 0.5
-        texts.append(" ".join([*("insult" for _ in range(a)), *("group" for _ in range(b)), *rnd.sample(["x", "y", "z", "u", "v", "w"], 3)]))
-        labels.append(int(a == b))  # no weights of single words tell these apart
-    machine = toxicity.fit_machine([terms(t) for t in texts], labels, passes=100)
-    right = sum((machine.score(terms(t)) >= 0.5) == y for t, y in zip(texts, labels, strict=True))
-    assert right / len(texts) > 0.95
+    rnd, texts, labels = random.Random(seed), [], []
+    common = [f"w{k}" for k in range(300)]
+    for _ in range(n):
+        kind = rnd.randrange(4)
+        said = {0: ["i", "i"], 1: ["g", "g"], 2: ["i", "g"], 3: []}[kind]
+        own = [f"{x}{k}" for x, k in zip(said, rnd.sample(range(4), len(said)), strict=True)]
+        texts.append(" ".join([*rnd.choices(common, [1 / (k + 3) for k in range(300)], k=25), *own]))
+        labels.append(int(kind == 2))
+    return texts, labels
+
+
+def test_pairs_are_learned_that_weights_miss():
+    from dataclasses import replace
+
+    terms, (texts, labels), (fresh, want) = toxicity.Terms(), planted_pairs(2400, 4), planted_pairs(400, 5)
+    machine = toxicity.fit_machine([terms(t) for t in texts], labels)
+    plain = replace(machine, v=machine.v * 0)
+    found, left = ([m.score(terms(t)) >= 0.5 for t in fresh] for m in (machine, plain))
+    caught = lambda got: sum(g and y for g, y in zip(got, want, strict=True)) / sum(want)
+    assert caught(found) > 0.75 and caught(left) < 0.25
+    assert sum(g == y for g, y in zip(found, want, strict=True)) / len(want) > 0.8
+
+
+def test_factors_decide_some_of_the_tables_texts(spark):
+    from dataclasses import replace
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    machine = toxicity.learn_toxicity(docs, labels)
+    plain, terms = replace(machine, v=machine.v * 0), toxicity.Terms()
+    features = [terms(r["text"] or "") for r in docs.join(labels, "doc_id").collect()]
+    assert sum((machine.score(f) >= 0.5) != (plain.score(f) >= 0.5) for f in features) >= 1
+
+
+def test_score_is_the_sum_over_all_pairs():
+    import math
+
+    terms, (texts, labels) = toxicity.Terms(), planted_pairs(200, 6)
+    m = toxicity.fit_machine([terms(t) for t in texts], labels)
+    for t in [*texts[:20], ""]:
+        rows = [k for k in m.rows[terms(t)] if k]
+        want = m.bias + sum(m.w[k] * m.x[k] for k in rows) + sum(float(m.v[a] @ m.v[b]) * m.x[a] * m.x[b] for n, a in enumerate(rows) for b in rows[:n])
+        assert math.isclose(m.raw(terms(t)), want, abs_tol=1e-9)
 
 
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(k, k % 2) for k in range(12)] + [(0, 0), (None, 1), (3, None)], "doc_id bigint, toxic int")
+    assert {r["score"] for r in toxicity.score_toxicity(odd, toxicity.learn_toxicity(odd, labels.where("toxic = 0")), ["doc_id"]).collect()} == {0.0}
     for machine in (toxicity.learn_toxicity(odd, labels), toxicity.learn_toxicity(odd, labels.limit(0)), toxicity.learn_toxicity(none, labels)):
         got = rows_of(toxicity.score_toxicity(odd, machine, ["doc_id"]))
         assert len(got) == odd.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
