@@ -6,18 +6,20 @@ under the tree's hash of that level: two sets of similarity s go to the same chi
 probability s. A node of LIMIT members at most is a leaf, whose members are compared exhaustively.
 A larger node branches on, DEPTH levels deep. It is also dealt into chunks of LIMIT members, each
 with the same PIVOTS, so that a large group of near copies, which no branching splits, is joined
-through its pivots in linear work. Nodes that are still larger than LIMIT on level CROWD are split by
-bands of set sizes, two for each class, so that sets whose sizes allow a similarity of 0.8 share a
-band: bands of LIMIT members at most are leaves too. Classes in larger bands are crowded: an exact
-prefix-filter join over those whose band isn't in one component by then finds every link between
-two components that is left. A pair in one node of level CROWD, or in a leaf before it, is thus
-compared in any case: of pairs at similarity 0.8, a tree brings 0.8 ** 2 so far, and TREES trees miss
-0.36 ** TREES.
+through its pivots in linear work.
+
+Nodes that are still larger than LIMIT on level SPLIT are split by bands of set sizes, two for each
+class, so that sets whose sizes allow a similarity of 0.8 share a band; bands of LIMIT members at most
+are leaves. Larger ones branch by two tokens at once, so that a pair at 0.8 shares a child in 0.96 of
+cases. Classes in children that are still larger are crowded: an exact prefix-filter join over them
+finds every link between two components that is left. A pair at 0.8 thus comes to a comparison in a
+tree with probability 0.8 ** 2 * 0.96 at least, and TREES trees miss 0.386 ** TREES, 1 in 90,000.
 
 The exact join orders the shingles of a set by how many crowded sets have them, rarest first. Two
 sets that need t shingles in common have their first common one among the first n - t + 1 of each;
 what lies behind it must suffice for t. Shingles that a whole family shares come last, so that they
-propose no pairs; the order is by counts of hash buckets, which decides the work, never the result.
+propose no pairs; the order is by counts of hash buckets, which decides the work, never the result. A
+shingle alone in its bucket is in no other set and proposes nothing.
 
 Within a node, short signatures first rule out pairs that are far apart (KEEP of 48 positions equal
 at least, at 0.8 below by chance once in 100,000). Links are confirmed on full sets, which travel to
@@ -46,8 +48,8 @@ from pyspark.sql import functions as F
 from sparkfolio.llm.common import cut, map_texts, settled
 
 TREES, DEPTH, LIMIT, PIVOTS, KEEP = 12, 4, 48, 4, 24
-#: Level on which members of large nodes are crowded, bits of a bucket of shingles, entries of a block of a shingle's list.
-CROWD, BUCKET, BLOCK = 1, 20, 512
+#: Level on which large nodes are split by bands and branch by two tokens, bits of a bucket of shingles, buckets that are summed up together, entries of a block of a shingle's list.
+SPLIT, BUCKET, TOGETHER, BLOCK = 1, 20, 4096, 512
 #: Band of a set's size: sizes of a ratio of 0.8 are in the same band or in neighbouring ones.
 BAND = "cast(floor(ln(n) / ln(1.2501)) as int)"
 #: Trees up to which each round goes; components are contracted in between.
@@ -151,21 +153,27 @@ def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """tree and members (rep, n, sig) of the leaves and chunks that may hold a link, and node and rep of the crowded classes."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     rows = classes.select("rep", "n", "sig", "path", tree)
-    token = lambda level: F.element_at("path", F.col("tree") * DEPTH + level + 1)
-    rows = rows.select("rep", "n", "sig", "tree", F.xxhash64("tree", token(0)).alias("node"), F.array(*map(token, range(1, DEPTH))).alias("rest"))
+    token = lambda level, tree=F.col("tree"): F.element_at("path", tree * DEPTH + level + 1)
+    second = token(SPLIT + 1, F.pmod(F.col("tree") + 1, F.lit(TREES)))  # the next tree's token serves as a second one
+    rows = rows.select("rep", "n", "sig", "tree", F.xxhash64("tree", token(0)).alias("node"), F.array(*map(token, range(1, DEPTH)), second).alias("rest"))
     member = F.struct("rep", "n", "sig")
     found = []
-    for level in range(DEPTH):
-        counts = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        rows = rows.join(counts, "node")
+
+    def sized(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "node")
+
+    def leaves_of(rows: DataFrame) -> DataFrame:
+        """Take the leaves among the nodes; the rows of larger ones."""
         found.append(rows.where(F.col("size") <= LIMIT).groupBy("node", "tree").agg(F.collect_list(member).alias("members")).drop("node"))
-        rows = cut(rows.where(F.col("size") > LIMIT))
-        if level == CROWD:
-            bands = F.explode(F.expr(f"array({BAND}, {BAND} + 1)")).alias("band")
-            banded = rows.select("rep", "n", "sig", "tree", "node", bands).withColumn("node", F.xxhash64("node", "band"))
-            banded = cut(banded.join(banded.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "node"))
-            found.append(banded.where(F.col("size") <= LIMIT).groupBy("node", "tree").agg(F.collect_list(member).alias("members")).drop("node"))
-            crowd = banded.where(F.col("size") > LIMIT).select("node", "rep")
+        return cut(rows.where(F.col("size") > LIMIT))
+
+    for level in range(DEPTH):
+        rows = leaves_of(sized(rows))
+        if level == SPLIT:
+            bands = rows.drop("size").withColumn("band", F.explode(F.expr(f"array({BAND}, {BAND} + 1)")))
+            rows = leaves_of(sized(cut(bands.withColumn("node", F.xxhash64("node", "band")).drop("band"))))
+        if level == SPLIT + 1:
+            crowd = rows.select("node", "rep")
         if level in (0, DEPTH - 1):  # groups that no branching splits
             chunks = F.ceil(F.col("size") / LIMIT).cast("int")
             pivots = [F.min(F.struct(F.xxhash64("rep", F.lit(level), F.lit(k)).alias("turn"), member.alias("member"))).alias(f"p{k}") for k in range(PIVOTS)]
@@ -175,7 +183,11 @@ def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
             dealt = dealt.groupBy("node", "tree", "chunk").agg(F.collect_list(member).alias("members"))
             found.append(dealt.join(heads, ["node", "tree", "chunk"]).select("tree", F.array_union("pivots", "members").alias("members")))
         if level < DEPTH - 1:
-            rows = rows.select("rep", "n", "sig", "tree", F.xxhash64("node", F.element_at("rest", level + 1)).alias("node"), "rest")
+            next_ = F.element_at("rest", level + 1)
+            if level == SPLIT:
+                rows = rows.withColumn("next", F.explode(F.array(F.struct(F.lit(0), next_), F.struct(F.lit(1), F.element_at("rest", -1)))))
+                next_ = F.col("next")
+            rows = rows.select("rep", "n", "sig", "tree", F.xxhash64("node", next_).alias("node"), "rest")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -242,19 +254,41 @@ def confirm(parts: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def bucket_counts(sets: DataFrame) -> np.ndarray:
-    """How many shingles of sets fall into each bucket."""
+    """How many shingles of sets fall into each bucket.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Each task sums up its own rows, and hands on the buckets that occur by groups of TOGETHER; these are
+    added up in two steps, so that no task gets a part from each of very many.
+    """
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << BUCKET, np.int64)
         for b in batches:
             for x in b.column("shingles"):
-                n += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(64 - BUCKET)).astype(np.int64), minlength=1 << BUCKET)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["bucket", "n"])
+                np.add.at(n, (np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(64 - BUCKET)).astype(np.int64), 1)
+        yield packed({g: n[g * TOGETHER : (g + 1) * TOGETHER] for g in range((1 << BUCKET) // TOGETHER)})
 
-    got = sets.select("shingles").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    def packed(groups: dict[int, np.ndarray]) -> pa.RecordBatch:
+        at = {g: np.flatnonzero(n) for g, n in groups.items()}
+        full = [g for g in groups if len(at[g])]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([np.stack([at[g], groups[g][at[g]]]).tobytes() for g in full], pa.binary())], names=["together", "part"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for g, parts in zip(b.column("together").to_pylist(), b.column("parts"), strict=True):
+                n = np.zeros(TOGETHER, np.int64)
+                for part in parts.values:
+                    at, times = np.frombuffer(part.as_buffer(), np.int64).reshape(2, -1)
+                    n[at] += times
+                yield packed({g: n})
+
+    got = sets.select("shingles").mapInArrow(own, "together int, part binary")
+    for some in ([F.pmod(F.spark_partition_id(), F.lit(256))], []):
+        lists = got.groupBy("together", *some).agg(F.collect_list("part").alias("parts"))
+        got = lists.select("together", "parts").mapInArrow(added, "together int, part binary")
     out = np.zeros(1 << BUCKET, np.int64)
-    out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    with small_batches(sets.sparkSession, 16):
+        for g, part in got.collect():  # of all buckets, 16 MB at most
+            at, times = np.frombuffer(part, np.int64).reshape(2, -1)
+            out[g * TOGETHER + at] = times
     return out
 
 
@@ -266,15 +300,18 @@ def proposed(sets: DataFrame) -> DataFrame:
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = sent.value
         for b in batches:
-            tokens = []
+            tokens, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for x in b.column("shingles"):
                 s = np.frombuffer(x.as_buffer(), np.uint64)
+                n = common[(s >> np.uint64(64 - BUCKET)).astype(np.int64)]
                 most = len(s) - -(-4 * len(s) // 5) + 1  # the least that a set of similarity 0.8 has in common
-                tokens.append(s[np.lexsort((s, common[(s >> np.uint64(64 - BUCKET)).astype(np.int64)]))[:most]].view(np.int64))
+                first = np.lexsort((s, n))[:most]
+                met = np.flatnonzero(n[first] > 1)
+                tokens.append(s[first[met]].view(np.int64))
+                places.append(met)
             sizes = np.array([len(x.as_buffer()) // 8 for x in b.column("shingles")], np.int64)
-            times = [len(t) for t in tokens]
-            flat = np.concatenate([*tokens, np.empty(0, np.int64)])
-            place = np.concatenate([*map(np.arange, times), np.empty(0, np.int64)])
+            times = [len(t) for t in tokens[1:]]
+            flat, place = np.concatenate(tokens), np.concatenate(places)
             columns = [np.repeat(x, times) for x in (b.column("rep").to_numpy(), b.column("label").to_numpy(), sizes)]
             yield pa.RecordBatch.from_arrays([pa.array(flat), *map(pa.array, columns), pa.array(place)], names=["token", "rep", "label", "n", "place"])
 

@@ -438,6 +438,16 @@ def borderline_family(words, size=3000, shared=150, own=20, both=2):
     return rows, want
 
 
+def test_bucket_counts_are_those_of_all_sets(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    sets = [rnd.integers(0, 1 << 63, k, dtype=np.uint64) for k in (1, 50, 3000)] * 3
+    df = spark.createDataFrame([(s.tobytes(),) for s in sets], "shingles binary").repartition(5)
+    want = np.bincount((np.concatenate(sets) >> np.uint64(64 - near_dedup.BUCKET)).astype(int), minlength=1 << near_dedup.BUCKET)
+    assert (near_dedup.bucket_counts(df) == want).all() and not near_dedup.bucket_counts(df.limit(0)).any()
+
+
 @pytest.mark.parametrize("words", [2, 5])
 def test_pairs_in_a_large_family_of_borderline_similarity(spark, words):
     rows, want = borderline_family(words)
