@@ -6,12 +6,15 @@ next shorter length is tried, each step down at a fixed discount; single letters
 The prediction is the language with the highest sum; the score is its share among the languages by
 the mean log frequency a word, so that it doesn't saturate with length.
 
-Counts are taken over a bounded sample of labelled documents (SAMPLE rows, by hash of doc_id), as
-DataFrame aggregations; the model holds the WORDS commonest words and GRAMS commonest n-grams of
-each language. Every word of every text is scored.
+Counts are taken over a sample of labelled documents, SAMPLE rows of each language: a row is in it
+where its hash falls below SAMPLE / (rows of its language), so that rare languages are read whole. They
+are DataFrame aggregations; the model holds the WORDS commonest words and GRAMS commonest n-grams of
+each language. The words are ranked in parts of each language first, so that a language that has most
+rows isn't one task. Every word of every text is scored.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; with no labelled rows
-every text is `und`. Equal sums go to the language that sorts first.
+every text is `und`. Equal sums go to the language that sorts first. Rows that repeat both doc_id and
+text are in the sample together or not at all.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from pyspark.sql import Window
 
 from sparkfolio.llm.common import map_texts
 
-#: Bounds of the model: labelled rows that are read, words and n-grams kept for each language, longest n-gram.
-SAMPLE, WORDS, GRAMS, LONGEST = 20_000, 20_000, 20_000, 4
+#: Bounds of the model for each language: labelled rows that are read (expected), words and n-grams kept. Longest n-gram, parts of a language's words.
+SAMPLE, WORDS, GRAMS, LONGEST, PARTS = 8_000, 20_000, 20_000, 4, 16
 #: Log discount of each step to shorter n-grams, and words kept in a task's cache.
 STEP, CACHED = math.log(0.4), 1 << 18
 LETTERS = regex.compile(r"\p{L}+")
@@ -74,10 +77,14 @@ class Backoff:
 def learn_languages(labelled: DataFrame, sample: int = SAMPLE) -> Backoff:
     """labelled: text, lang and doc_id; rows without a lang don't count."""
     rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so it may be broadcast
-    rows = rows.join(F.broadcast(chosen), "doc_id", "left_semi")
+    shares = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share"))  # a row for each language
+    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    rows = rows.join(shares, "lang").where(turn < F.col("share"))
     words = rows.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w != ''").groupBy("lang", "w").count()
-    kept = words.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "w"))).where(F.col("k") <= 2 * WORDS)
+    order = (F.desc("count"), "w")
+    parts = words.withColumn("part", F.pmod(F.xxhash64("w"), F.lit(PARTS)))
+    parts = parts.withColumn("k", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("k") <= 2 * WORDS)
+    kept = parts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= 2 * WORDS)
     got = kept.select("lang", "w", "count", "k").toPandas()
     langs = sorted(set(got["lang"]))
     at = {x: k for k, x in enumerate(langs)}
@@ -99,8 +106,11 @@ def learn_languages(labelled: DataFrame, sample: int = SAMPLE) -> Backoff:
     def logs(t: dict[str, np.ndarray], most: int) -> dict[str, np.ndarray]:
         if not t:
             return {}
-        keys = sorted(t, key=lambda x: (-t[x].sum(), x))[: most * max(1, len(langs))]
-        m = np.array([t[k] for k in keys])
+        every = sorted(t)
+        m = np.array([t[k] for k in every])
+        of_each = [np.argsort(-c, kind="stable")[: min(most, int((c > 0).sum()))] for c in m.T]  # a frequent language crowds out no other
+        best = np.unique(np.concatenate(of_each))
+        keys, m = [every[k] for k in best], m[best]
         m = np.log((m + 0.1) / (m.sum(axis=0) + 0.1 * len(keys)))
         return dict(zip(keys, m, strict=True))
 
