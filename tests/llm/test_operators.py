@@ -506,6 +506,42 @@ def test_field_finds_secrets_without_a_pattern():
     assert secret_scan.field_spans("see https://example.org/page/123 or mail a1@mail3.example.com on 2024-05-06", field) == []
 
 
+def test_features_of_the_file_decide():
+    import random
+
+    rnd, field, blind = random.Random(3), secret_scan.trained(), secret_scan.Field()
+    blind.pair, blind.w = field.pair, {f: w for f, w in field.w.items() if "file" not in f and "keys" not in f}
+    tokens = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=rnd.randint(22, 34))) + "7k" for _ in range(100)]
+    prose = ["we went there and " * 20 + f"use {t} " + "now and then " * 10 for t in tokens]
+    count = lambda f: (sum(bool(secret_scan.field_spans(t, f)) for t in prose), len(secret_scan.field_spans(" ".join(tokens), f)))
+    (said, data), (_, blindly) = count(field), count(blind)
+    assert said > 80 and data < 5 and blindly > data + 10
+
+
+def test_generated_files_not_trained_on():
+    field, wrong, total = secret_scan.trained(), 0, 0
+    for text, secret in secret_scan.labelled_files(150, seed=99):
+        got = {w for a, _, b in secret_scan.field_spans(text, field) for w in text[a:b].split()}
+        wrong += len(got ^ secret)
+        total += len(secret)
+    assert wrong / total < 0.1
+
+
+def test_tokens_are_looked_at_whole_and_short_ones_near_a_clue():
+    a, b = "a1" * 2048, "a1" * 2048 + "@mail.example.com"
+    assert secret_scan.shape(a + "b2") != secret_scan.shape(b)
+    assert secret_scan.tokens_of("x" * 5000 + "password=1").near == {0}
+    assert secret_scan.field_spans("the password is Tr0ub4dor&3 now", secret_scan.trained()) == [(16, "field", 27)]
+
+
+def test_added_spans_never_overlap_base_ones():
+    field = secret_scan.trained()
+    for text, _ in secret_scan.labelled_files(100, seed=5):
+        base, every = secret_scan.all_spans(text, field)
+        added = [s for s in every if s[1] == "field"]
+        assert added == [s for s in secret_scan.field_spans(text, field) if not any(s[0] < b[2] and b[0] < s[2] for b in base)]
+
+
 def test_viterbi_is_the_best_of_all_tags():
     import itertools
 
@@ -527,6 +563,67 @@ def test_language_on_held_out_documents(spark):
     assert len(held) > 100 and sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.97
 
 
+def brute_language(rows):
+    """Word-first backoff by loops over all rows: text -> (lang_pred, score)."""
+    import math
+
+    import regex
+
+    find = regex.compile(r"\p{L}+").findall
+    langs = sorted({r["lang"] for r in rows if r["lang"] is not None and r["text"] is not None and find(r["text"].lower())})
+    words = {x: Counter(w for r in rows if r["lang"] == x and r["text"] for w in find(r["text"].lower())) for x in langs}
+    grams = [{x: Counter() for x in langs} for _ in range(language_id.LONGEST + 1)]
+    for x in langs:
+        for w, n in words[x].items():
+            for k in range(1, language_id.LONGEST + 1):
+                for i in range(len(w) + 3 - k):
+                    grams[k][x][f"<{w}>"[i : i + k]] += n
+
+    def logs(counts):
+        keys = {k for x in langs for k in counts[x]}
+        total = {x: sum(counts[x].values()) for x in langs}
+        return {k: [math.log((counts[x][k] + 0.1) / (total[x] + 0.1 * len(keys))) for x in langs] for k in keys}
+
+    known = logs({x: Counter({w: n for w, n in words[x].items() if n > 1}) for x in langs})
+    tables = [logs(g) for g in grams]
+
+    def of(word):
+        if word in known:
+            return known[word]
+        for k in range(language_id.LONGEST, 0, -1):
+            got = [tables[k][g] for i in range(len(word) + 3 - k) if (g := f"<{word}>"[i : i + k]) in tables[k]]
+            if got:
+                return [sum(c) / len(got) + math.log(0.4) * (language_id.LONGEST - k + 1) for c in zip(*got, strict=True)]
+        return [-20.0] * len(langs)
+
+    def judged(text):
+        found = find((text or "").lower())
+        if not found:
+            return "und", 0.0
+        means = [sum(c) / len(found) for c in zip(*map(of, found), strict=True)]
+        best = max(range(len(langs)), key=lambda k: (round(means[k], 9), -k))
+        return langs[best], 1 / sum(math.exp(m - means[best]) for m in means)
+
+    return judged
+
+
+def test_language_against_brute_force(spark, docs, odd):
+    few = docs.limit(120).cache()
+    judged, model = brute_language(rows_of(few)), language_id.learn_languages(few)
+    for df in (few, odd.where("length(text) < 200 or text is null")):
+        for r, doc in zip(rows_of(language_id.identify_language(df, model, ["doc_id"])), rows_of(df), strict=True):
+            lang, score = judged(doc["text"])
+            assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-6
+
+
+def test_a_rare_language_is_learned_beside_a_frequent_one(spark):
+    rows = [(k, "eins zwei drei vier", "de") for k in range(4000)] + [(9000 + k, "yksi kaksi kolme", "fi") for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.learn_languages(df, sample=50)
+    assert model.langs == ["de", "fi"]
+    assert {(r["doc_id"] >= 9000, r["lang_pred"]) for r in rows_of(language_id.identify_language(df, model, ["doc_id"]))} == {(False, "de"), (True, "fi")}
+
+
 def test_language_of_odd_rows(spark, docs, odd, none):
     model = language_id.learn_languages(docs)
     got = rows_of(language_id.identify_language(odd, model, ["doc_id"]))
