@@ -13,12 +13,15 @@ All pages of a batch are one forest: messages are computed for all nodes of a de
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are
 trimmed, empty ones left out and the others joined by two line feeds. Blocks begin and end with
-block elements; a line break is white space.
+block elements; a line break is white space. Scripts, styles and other elements whose content is no
+markup have no text; what stands in noscript, object and canvas is read as by a browser without
+scripts; drawings and lists to choose from have no text and end where a block begins in them.
 
 Defined results: null and empty pages have an empty text; broken markup is read as browsers do (tags
 that are left open end with their parent, unknown end tags don't count, an unfinished tag or comment
-at the end of the page is dropped); pages of any length and depth are read whole. Repeated rows are
-extracted each.
+at the end of the page is dropped; where a quoted attribute never ends, it ends with its tag); pages of
+any length and depth are read whole, in time that grows with their length. Repeated rows are extracted
+each.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -39,12 +43,17 @@ from sparkfolio.llm.training_pages import labelled_pages
 
 PAGES, PASSES, RATE, DECAY = 1200, 150, 0.15, 1e-4
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their text is no text of the page.
-RAW = frozenset("script style title textarea iframe noembed noframes xmp template noscript svg select datalist object canvas".split())
+#: What stands in them is no markup and no text of the page.
+RAW = frozenset("script style title textarea iframe noembed noframes template".split())
+#: Their text is no text of the page, up to their end or the beginning of a block.
+MUTE = frozenset("svg math select datalist".split())
+BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
 )
 LISTS, CELLS = frozenset(("ul", "ol", "menu", "dir")), frozenset(("td", "th", "caption"))
+#: End tags that reach over the border of a cell.
+OVER = frozenset(("table", "tr", "tbody", "thead", "tfoot", "body", "html", "td", "th"))
 #: A start tag of the key ends an open element of these, up to a border.
 ENDS = {
     "li": (frozenset(("li",)), LISTS),
@@ -59,7 +68,8 @@ ENDS = {
     "option": (frozenset(("option",)), frozenset(("select",))),
 }
 TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)((?>[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>|!--(?:>|->|(?s:.*?)(?:--!?>|\Z))|[!?/][^>]*+(?:>|\Z))")
-TAIL = re.compile(r"<[a-zA-Z/!?]")
+#: A tag whose quotes don't count.
+BARE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -100,99 +110,115 @@ def names_of(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
+class Stack:
+    """Open elements (tag, node), plain inline ones with their parent's node, and where each tag stands among them."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, int]] = [("#page", 0)]
+        self.where: dict[str, list[int]] = {}
+        self.blocks, self.cells, self.mutes = [0], [0], [0]  # numbers of elements that aren't inline, of cells, and of those without text
+
+    def push(self, tag: str, node: int) -> None:
+        k = len(self.open)
+        self.open.append((tag, node))
+        self.where.setdefault(tag, []).append(k)
+        for test, at in ((tag not in INLINE and tag not in MUTE, self.blocks), (tag in CELLS, self.cells), (tag in MUTE, self.mutes)):
+            if test:
+                at.append(k)
+
+    def cut(self, to: int) -> bool:
+        """End the open elements from number to on; whether a block that may have text was among them."""
+        shown = self.mutes[1] if len(self.mutes) > 1 else len(self.open)
+        block = bisect_left(self.blocks, to) < bisect_left(self.blocks, shown)
+        for tag, _ in self.open[to:]:
+            self.where[tag].pop()
+        del self.open[to:]
+        for at in (self.blocks, self.cells, self.mutes):
+            while at[-1] >= to:
+                at.pop()
+        return block
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Number of the innermost open element of these tags, 0 if there is none."""
+        return max((at[-1] for t in tags if (at := self.where.get(t))), default=0)
+
+
 def parse(page: str) -> Tree:
     tree = Tree()
     parent, tags, names, pieces = tree.parent, tree.tag, tree.names, tree.pieces
-    stack: list[tuple[str, int]] = [("#page", 0)]  # open elements that are nodes, and plain inline ones with their parent's node
-    paragraphs = 0  # open p elements
-    links = 0
-    at, end, find = 0, len(page), TAG.search
+    stack = Stack()
+    at, end, seek, match = 0, len(page), page.find, TAG.match
+    ends: dict[str, int] = {}  # where a raw element's end tag was looked for in vain
 
     def close(to: int) -> None:
-        """End the open elements from number to on."""
-        nonlocal paragraphs, links
-        for tag, _ in stack[to:]:
-            if tag == "p":
-                paragraphs -= 1
-            elif tag == "a":
-                links -= 1
-        if any(tag not in INLINE for tag, _ in stack[to:]):
+        if stack.cut(to):
             pieces.append((-1, "", False))
-        del stack[to:]
 
     def text(piece: str) -> None:
-        pieces.append((stack[-1][1], html.unescape(piece) if "&" in piece else piece, links > 0))
-
-    def open_until(wanted: frozenset[str], borders: frozenset[str]) -> int:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in wanted:
-                return k
-            if stack[k][0] in borders:
-                break
-        return 0
+        if not stack.mutes[-1]:
+            pieces.append((stack.open[-1][1], html.unescape(piece) if "&" in piece else piece, bool(stack.where.get("a"))))
 
     while at < end:
-        m = find(page, at)
-        if m is None:
-            rest = page[at:]
-            if cut := TAIL.search(rest):  # an unfinished tag
-                rest = rest[: cut.start()]
-            if rest:
+        begin = seek("<", at)
+        m = None
+        while begin >= 0 and (m := match(page, begin)) is None:
+            if page[begin + 1 : begin + 2].isascii() and page[begin + 1 : begin + 2].isalpha() or (page[begin + 1 : begin + 2] == "/" and page[begin + 2 : begin + 3].isalpha()):
+                match = BARE.match  # a quote that never ends
+                if (m := match(page, begin)) is None:
+                    break
+                break
+            begin = seek("<", begin + 1)
+        if begin < 0 or m is None:
+            if rest := page[at : begin if begin >= 0 else end]:  # behind it, an unfinished tag
                 text(rest)
             break
-        if m.start() > at:
-            text(page[at : m.start()])
+        if begin > at:
+            text(page[at:begin])
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
-        if m[1]:
-            if tag == "br":
-                text("\n")
-                continue
-            inline = tag in INLINE
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if (inline and stack[k][0] not in INLINE) or (stack[k][0] in CELLS and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "td", "th")):
-                    break
-            continue
         if tag == "br":
             text("\n")
             continue
+        if m[1]:
+            k = stack.last((tag,))
+            if k and not (tag in INLINE and stack.blocks[-1] > k) and not (tag not in OVER and stack.cells[-1] > k):
+                close(k)
+            continue
+        if stack.mutes[-1] and tag in BLOCKS:
+            close(stack.mutes[1])
         if tag in VOID:
             if tag == "hr":
                 pieces.append((-1, "", False))
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            if not m[3].rstrip().endswith("/") or tag != "svg":
+            if tag not in ends:
+                stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                if stop is None:
+                    ends[tag] = at
                 at = stop.end() if stop else end
             continue
         own = names_of(m[3]) if m[3] else ()
         if tag in INLINE:
-            if tag == "a":
-                if links:
-                    k = open_until(frozenset(("a",)), frozenset())
-                    if k and all(t in INLINE for t, _ in stack[k:]):
-                        close(k)
-                links += 1
+            if tag == "a" and (k := stack.last(("a",))) and stack.blocks[-1] < k:
+                close(k)
             if not own:
-                stack.append((tag, stack[-1][1]))
+                stack.push(tag, stack.open[-1][1])
                 continue
         else:
-            if tag in ENDS and (k := open_until(*ENDS[tag])):
-                close(k)
-            elif paragraphs and (k := open_until(frozenset(("p",)), CELLS)):
+            k, border = (stack.last(ENDS[tag][0]), stack.last(ENDS[tag][1])) if tag in ENDS else (0, 0)
+            if k <= border:
+                k, border = stack.last(("p",)), stack.cells[-1]
+            if k > border and tag not in MUTE and (k > stack.mutes[-1] or not stack.mutes[-1]):
                 close(k)
-            if tag == "p":
-                paragraphs += 1
-            pieces.append((-1, "", False))
-        parent.append(stack[-1][1])
+            if tag not in MUTE and not stack.mutes[-1]:
+                pieces.append((-1, "", False))
+        parent.append(stack.open[-1][1])
         tags.append(tag)
         names.append(own)
-        stack.append((tag, len(parent) - 1))
+        if m[3][-1:] != "/" or tag not in MUTE:
+            stack.push(tag, len(parent) - 1)
     return tree
 
 

@@ -115,8 +115,10 @@ class Grammar:
                 out.append(Part("pre", True, [f"<code>{self.words(4, 20)}</code>"]))
             elif x < 0.93:
                 out.append(Part(self.rnd.choice(["div", "section"]), True, [self.paragraph(), self.paragraph()], self.named(PLAIN, 0.4)))
-            elif x < 0.95:
+            elif x < 0.94:
                 out.append(Part("div", True, [self.prose(2, 6)]))
+            elif x < 0.95:
+                out.append(Part(self.rnd.choice(["noscript", "object", "canvas"]), True, [self.paragraph() if self.maybe(0.6) else self.prose(1, 3)]))
             else:
                 out.append(self.beside(self.rnd.choice(["ad", "ad", "share", "side", "notice", "form", "menu"])))
         if self.maybe(0.12):
@@ -167,7 +169,7 @@ class Grammar:
             inner += [self.items(False, self.maybe(0.7)) if self.maybe(0.6) else no("p", self.prose(1, 4)) for _ in self.some(1, 3)]
             return box(tag, 0.4 if tag == "aside" else 1, *inner)
         if kind in ("ad", "notice"):
-            tag = self.rnd.choice(["div", "div", "section", "p", "aside", "span"] if kind == "ad" else ["div", "div", "section", "p", "dialog"])
+            tag = self.rnd.choice(["div", "div", "section", "p", "aside", "span"] if kind == "ad" else ["div", "div", "section", "p", "dialog", "noscript"])
             text = self.prose(1, 4) if self.maybe(0.8) else self.words(1, 6)
             if tag in ("p", "span"):
                 return box(tag, 1, text)

@@ -108,6 +108,27 @@ def test_extraction_of_odd_pages(spark, none):
     assert html_extract.extract_text(df.limit(0), ["page_id"]).collect() == []
 
 
+def test_extraction_reads_on_behind_what_never_ends():
+    article = lambda *blocks: html_extract.main_texts([f"<article>{''.join(blocks)}</article>"], html_extract.trained())[0]
+    first, last = "<p>The first text of the page is here.</p>", "<p>The last text of it, too.</p>"
+    for between, said in (
+        ("<select><option>One<option>Two", ""), ("<canvas><p>Shown instead, it says.</p>", "\n\nShown instead, it says."), ("<noscript><p>A picture of a tree is here.</p></noscript>", "\n\nA picture of a tree is here."),
+        ("<svg><title>No</title><g><text>Nor this</text></g>", ""), ("<object>", ""), ("<datalist><option>No</datalist>", ""), ('<p class="x>It goes on in this one.</p>', "\n\nIt goes on in this one."), ("</nothing></p></td>", ""),
+    ):
+        assert article(first, between, last) == f"The first text of the page is here.{said}\n\nThe last text of it, too."
+    assert article("<p>A drawing <svg><title>x</title><g><text>y</text></g></svg>in a text that goes on.</p>") == "A drawing in a text that goes on."
+
+
+def test_parsing_takes_time_in_proportion():
+    import time
+
+    k = 40_000
+    began = time.time()
+    for page in ("<div>" * k + "</x>" * k, "<a " * k, '<a b=">" ' * k, "<b><div>" * k + "</b>" * k, "<td>" + "<i>" * k + "</div>" * k, "<select>" * k, '<a href="' * k + ">x", "<" * k, "<a>" * k, "<!--" * k, "<x " + "a='" * k):
+        html_extract.parse(page)
+    assert time.time() - began < 20
+
+
 # 2: BPE
 
 
