@@ -3,17 +3,18 @@
 A document's set is that of its distinct word shingles, hashed to 64 bits; documents with equal sets
 are one class. In each of TREES independent trees the classes branch by the shingle that is least
 under the tree's hash of that level: two sets of similarity s go to the same child with
-probability s. A node of LIMIT members at most is a leaf, whose members are compared exhaustively.
-A larger node branches on, DEPTH levels deep. It is also dealt into chunks of LIMIT members, each
-with the same PIVOTS, so that a large group of near copies, which no branching splits, is joined
-through its pivots in linear work.
-
-Nodes that are still larger than LIMIT on level SPLIT are split by bands of set sizes, two for each
-class, so that sets whose sizes allow a similarity of 0.8 share a band; bands of LIMIT members at most
-are leaves. Larger ones branch by two tokens at once, so that a pair at 0.8 shares a child in 0.96 of
-cases. Classes in children that are still larger are crowded: an exact prefix-filter join over them
-finds every link between two components that is left. A pair at 0.8 thus comes to a comparison in a
-tree with probability 0.8 ** 2 * 0.96 at least, and TREES trees miss 0.386 ** TREES, 1 in 90,000.
+probability s. A node of LIMIT members at most is a leaf, whose members are compared exhaustively;
+a larger node branches on. Nodes that are still larger on level SPLIT are split by bands of set sizes,
+two for each class, so that sets whose sizes allow a similarity of 0.8 share a band; bands of LIMIT
+members at most are leaves. Larger ones branch by two tokens at once, so that a pair at 0.8 shares a
+child in 0.96 of cases. Classes in children that are still larger are crowded: an exact prefix-filter
+join over them finds every link between two components that is left. A pair at 0.8 thus comes to a
+comparison in a tree with probability 0.8 ** 2 * 0.96 at least, and TREES trees miss 0.386 ** TREES,
+1 in 90,000.
+
+In the trees of the first round large nodes are also dealt into chunks of LIMIT members, each with the
+same PIVOTS, so that a large group of near copies, which no branching splits, becomes one component in
+linear work before the other trees are looked at.
 
 The exact join orders the shingles of a set by how many crowded sets have them, rarest first. Two
 sets that need t shingles in common have their first common one among the first n - t + 1 of each;
@@ -47,8 +48,9 @@ from pyspark.sql import functions as F
 
 from sparkfolio.llm.common import cut, map_texts, settled
 
+#: DEPTH: tokens of a tree, one for each level and a second one for the last.
 TREES, DEPTH, LIMIT, PIVOTS, KEEP = 12, 4, 48, 4, 24
-#: Level on which large nodes are split by bands and branch by two tokens, bits of a bucket of shingles, buckets that are summed up together, entries of a block of a shingle's list.
+#: Level on which large nodes are split by bands and branch by two tokens (the next is the last), bits of a bucket of shingles, buckets that are summed up together, entries of a block of a shingle's list.
 SPLIT, BUCKET, TOGETHER, BLOCK = 1, 20, 4096, 512
 #: Band of a set's size: sizes of a ratio of 0.8 are in the same band or in neighbouring ones.
 BAND = "cast(floor(ln(n) / ln(1.2501)) as int)"
@@ -153,9 +155,8 @@ def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """tree and members (rep, n, sig) of the leaves and chunks that may hold a link, and node and rep of the crowded classes."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     rows = classes.select("rep", "n", "sig", "path", tree)
-    token = lambda level, tree=F.col("tree"): F.element_at("path", tree * DEPTH + level + 1)
-    second = token(SPLIT + 1, F.pmod(F.col("tree") + 1, F.lit(TREES)))  # the next tree's token serves as a second one
-    rows = rows.select("rep", "n", "sig", "tree", F.xxhash64("tree", token(0)).alias("node"), F.array(*map(token, range(1, DEPTH)), second).alias("rest"))
+    token = lambda level: F.element_at("path", F.col("tree") * DEPTH + level + 1)
+    rows = rows.select("rep", "n", "sig", "tree", F.xxhash64("tree", token(0)).alias("node"), F.array(*map(token, range(1, DEPTH))).alias("rest"))
     member = F.struct("rep", "n", "sig")
     found = []
 
@@ -167,27 +168,24 @@ def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         found.append(rows.where(F.col("size") <= LIMIT).groupBy("node", "tree").agg(F.collect_list(member).alias("members")).drop("node"))
         return cut(rows.where(F.col("size") > LIMIT))
 
-    for level in range(DEPTH):
+    for level in range(SPLIT + 2):
         rows = leaves_of(sized(rows))
         if level == SPLIT:
             bands = rows.drop("size").withColumn("band", F.explode(F.expr(f"array({BAND}, {BAND} + 1)")))
             rows = leaves_of(sized(cut(bands.withColumn("node", F.xxhash64("node", "band")).drop("band"))))
-        if level == SPLIT + 1:
-            crowd = rows.select("node", "rep")
-        if level in (0, DEPTH - 1):  # groups that no branching splits
-            chunks = F.ceil(F.col("size") / LIMIT).cast("int")
+        if level in (0, SPLIT + 1):  # groups that no branching splits
+            some, chunks = rows.where(F.col("tree") < ROUNDS[0]), F.ceil(F.col("size") / LIMIT).cast("int")
             pivots = [F.min(F.struct(F.xxhash64("rep", F.lit(level), F.lit(k)).alias("turn"), member.alias("member"))).alias(f"p{k}") for k in range(PIVOTS)]
-            heads = rows.groupBy("node", "tree", "size").agg(*pivots)
+            heads = some.groupBy("node", "tree", "size").agg(*pivots)
             heads = heads.select("node", "tree", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.array_distinct(F.array(*(F.col(f"p{k}.member") for k in range(PIVOTS)))).alias("pivots"))
-            dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(level), F.lit("chunk")), chunks).cast("int"))
+            dealt = some.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(level), F.lit("chunk")), chunks).cast("int"))
             dealt = dealt.groupBy("node", "tree", "chunk").agg(F.collect_list(member).alias("members"))
             found.append(dealt.join(heads, ["node", "tree", "chunk"]).select("tree", F.array_union("pivots", "members").alias("members")))
-        if level < DEPTH - 1:
-            next_ = F.element_at("rest", level + 1)
-            if level == SPLIT:
-                rows = rows.withColumn("next", F.explode(F.array(F.struct(F.lit(0), next_), F.struct(F.lit(1), F.element_at("rest", -1)))))
-                next_ = F.col("next")
-            rows = rows.select("rep", "n", "sig", "tree", F.xxhash64("node", next_).alias("node"), "rest")
+        if level <= SPLIT:
+            tokens = [F.struct(F.lit(k), F.element_at("rest", level + 1 + k)) for k in range(1 + (level == SPLIT))]
+            rows = rows.withColumn("token", F.explode(F.array(*tokens)))
+            rows = rows.select("rep", "n", "sig", "tree", F.xxhash64("node", "token").alias("node"), "rest")
+    crowd = rows.select("node", "rep")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
