@@ -193,6 +193,30 @@ def test_exact_dedup_against_brute_force(spark, docs, odd, none, bits):
         assert exact_dedup.dedup(none).collect() == []
 
 
+def test_a_repeated_id_takes_no_more_time_than_others(spark):
+    import time
+
+    df = spark.range(20_000).selectExpr("7L as doc_id", "concat('the same text ', id % 2) as text")
+    began = time.time()
+    got = Counter((r["group_size"], r["kept"]) for r in exact_dedup.dedup(df).collect())
+    assert got == Counter({(10_000, True): 20_000}) and time.time() - began < 30
+
+
+def test_rows_without_an_id_are_compared_by_bytes(spark):
+    df = spark.createDataFrame([(None, f"text {k}") for k in range(40)], "doc_id bigint, text string")
+    assert Counter(tuple(r) for r in exact_dedup.dedup(df, digest_bits=8).collect()) == Counter((None, None, 1, True, hashlib.sha256(f"text{k}".encode()).hexdigest()) for k in range(40))
+
+
+def test_state_goes_on_with_the_next_batch(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    folder = f"file://{tmp_path}"
+    first = exact_dedup.dedup(make([(5, "a b"), (6, "c"), (7, "c ")]), state_folder=folder).collect()
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in first} == {5: (5, 1), 6: (7, 2), 7: (7, 2)}
+    for _ in range(2):  # a batch counts once
+        then = exact_dedup.dedup(make([(8, "ab"), (9, "c"), (10, "d")]), state_folder=folder).collect()
+        assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in then} == {8: (5, 2, False), 9: (7, 3, False), 10: (10, 1, True)}
+
+
 def test_of_equals_one_row_stays_with_its_columns(spark, odd):
     kept = exact_dedup.keep_one_of_equals(odd)
     assert kept.columns == odd.columns
