@@ -1,22 +1,28 @@
 """Mixing sources to target weights (operator 6), by DataFrame functions only.
 
 The words of each source, its documents in a pseudorandom order, are packed into blocks of BLOCK
-words. The mix is a sequence of output shards of SHARD slots. Each shard draws its slots' sources
-from a multinomial whose weights are the targets; a source's surplus over its quota of slots, which
-lies in its last shards, is handed to sources that fall short, so that the totals are right. A
-source's slots are numbered through; number j stands for block perm(j mod blocks), where perm is a
+words. The mix is a sequence of output shards of SHARD slots. Each shard draws from a multinomial how
+many of its slots each source gets, with the sources' quotas as weights. Shards take up a source's
+quota in their order: one that draws n slots gets the source's next n, as far as the quota goes. Slots
+drawn beyond a quota go, in order, to sources whose quota isn't used up, so that totals meet the
+targets. Which shard a slot of a source stands in is thus decided by the draws.
+
+A source's slots are numbered through; number j stands for block perm(j mod blocks), where perm is a
 pseudorandom permutation of the source's block numbers (swap or not: in each round a number and its
 partner trade places or don't, by a hashed bit), so that a pass takes each block once. Slots and
 blocks meet in a join by source and block number.
 
 Quotas cover targets, at most two passes; where whole blocks take more words than the target, the
-last slot is cut short. All choices are hashes of doc_id, source, slot and SEED: reruns agree.
+last slot is cut short. All choices are hashes of doc_id, source, slot and a seed: reruns agree.
 
 Running totals are taken in BUCKET_ROWS-sized buckets and over the buckets' sums, so that a source
-with a third of all rows isn't one task.
+with a third of all rows isn't one task. Windows over sources hold one row a source, those by source
+a row for each shard or bucket.
 
 Defined results: a null text or one without words has size 0 and is never taken; a null source is
 a source of its own, sorted last; repeated rows count each; an empty table gives an empty result.
+mix_documents keeps the other columns as they are, whatever their names, nulls included. A document
+that is taken whole keeps its text; one that is taken in part has its words joined by single spaces.
 """
 
 from __future__ import annotations
@@ -33,9 +39,9 @@ WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def uniform(*of: Column) -> Column:
+def uniform(seed: int, *of: Column) -> Column:
     """A pseudorandom number in [0, 1) from the values."""
-    return F.pmod(F.xxhash64(F.lit(SEED), *of), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    return F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -87,30 +93,45 @@ def positions(sized: DataFrame, buckets: int) -> DataFrame:
     return rows.withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0))).drop("turn", "bucket", "base")
 
 
-def slots(quotas: DataFrame) -> DataFrame:
-    """source_no and slot number j in its source: the draws of all shards, settled to the quotas.
+def drawn_counts(quotas: DataFrame, seed: int = SEED) -> DataFrame:
+    """source_no, shard and n: how many slots each shard draws for each source.
 
     quotas: one row a source with source_no, quota, total (of all quotas) and its share [since, to) of [0, 1).
     """
-    spark = quotas.sparkSession
     total = quotas.agg(F.max("total")).first()[0] or 0
-    drawn = spark.range(total).select((F.col("id") / SHARD).cast("bigint").alias("shard"), uniform(F.lit("slot"), F.col("id")).alias("u"))
+    drawn = quotas.sparkSession.range(total).select((F.col("id") / SHARD).cast("bigint").alias("shard"), uniform(seed, F.lit("slot"), F.col("id")).alias("u"))
     drawn = drawn.withColumn("cell", F.floor(F.col("u") * CELLS))
     # each source's share of [0, 1) by the cells that it touches, so that the draw is a join by cell
     cells = quotas.withColumn("cell", F.explode(F.sequence(F.floor(F.col("since") * CELLS), F.floor(F.least("to", F.lit(1.0)) * CELLS))))
     cells = cells.select("cell", "source_no", "since", "to")
     drawn = drawn.join(cells, "cell").where("since <= u and u < to")
-    counts = drawn.groupBy("source_no", "shard").agg(F.count("*").alias("n"))
+    return drawn.groupBy("source_no", "shard").agg(F.count("*").alias("n"))
+
+
+def slots(quotas: DataFrame, seed: int = SEED) -> DataFrame:
+    """source_no, slot number j in its source and shard, for all slots of the mix."""
+    quota = quotas.select("source_no", "quota")
     before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    counts = drawn_counts(quotas, seed).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    counts = cut(counts.join(quota, "source_no"))
+
+    def numbered(runs: DataFrame, *more: str) -> DataFrame:
+        """A row for each number j of the runs [first, last]."""
+        pieces = runs.where("first <= last").select(*more, F.explode(F.sequence("first", "last", F.lit(SHARD).cast("bigint"))).alias("at"), "last")
+        return pieces.select(*more, F.explode(F.sequence("at", F.least(F.col("at") + SHARD - 1, "last"))).alias("j"))
+
+    own = numbered(counts.select("source_no", "shard", "first", (F.least(F.col("first") + F.col("n"), "quota") - 1).alias("last")), "source_no", "shard")
+    # what is drawn beyond a quota, and what is left of others, each numbered through over all sources
     totals = counts.groupBy("source_no").agg(F.sum("n").alias("drawn"))
-    held = counts.join(quotas.select("source_no", "quota"), "source_no")
-    runs = held.select("source_no", "first", (F.least(F.col("first") + F.col("n"), "quota") - 1).alias("last"))
-    # what fell short takes over the surplus slots, whose number is the same
-    short = quotas.join(totals, "source_no", "left").select("source_no", F.coalesce("drawn", F.lit(0)).alias("first"), (F.col("quota") - 1).alias("last"))
-    runs = runs.unionByName(short).where("first <= last")
-    pieces = runs.select("source_no", F.explode(F.sequence("first", "last", F.lit(SHARD).cast("bigint"))).alias("at"), "last")
-    return pieces.select("source_no", F.explode(F.sequence("at", F.least(F.col("at") + SHARD - 1, "last"))).alias("j"))
+    sums = quota.join(totals, "source_no", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    upto = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
+    base = lambda c: F.coalesce(F.sum(F.greatest(c, F.lit(0))).over(upto), F.lit(0))
+    sums = sums.withColumns({"base": base(F.col("drawn") - F.col("quota")), "open": base(F.col("quota") - F.col("drawn"))})
+    surplus = counts.select("source_no", "shard", F.greatest("first", "quota").alias("first"), (F.col("first") + F.col("n") - 1).alias("last"))
+    surplus = numbered(surplus, "source_no", "shard").join(sums, "source_no").select("shard", (F.col("base") + F.col("j") - F.col("quota")).alias("turn"))
+    short = numbered(sums.select("source_no", "open", "drawn", F.col("drawn").alias("first"), (F.col("quota") - 1).alias("last")), "source_no", "open", "drawn")
+    short = short.select("source_no", "j", (F.col("open") + F.col("j") - F.col("drawn")).alias("turn"))
+    return own.unionByName(short.join(surplus, "turn").select("source_no", "j", "shard"))
 
 
 def sized_of(docs: DataFrame, row_no: str = "") -> DataFrame:
@@ -119,10 +140,11 @@ def sized_of(docs: DataFrame, row_no: str = "") -> DataFrame:
     return docs.select("doc_id", "source", size.alias("size"), number.alias("row_no"))
 
 
-def mix(docs: DataFrame, row_no: str = "") -> tuple[DataFrame, DataFrame]:
-    """Rows of docs (row_no, doc_id, size, source_size, target) and their pieces in the mix (row_no, at, words, times).
+def mix(docs: DataFrame, row_no: str = "", seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs (row_no, doc_id, size, source_size, target) and their pieces in the mix (row_no, pass, at, words, shard).
 
-    A piece is words number at to at + words of the row, taken times times. Pieces that aren't taken are left out.
+    A piece is words number at to at + words of the row, in one slot of the shard; pass: how many times its
+    block was taken before.
     """
     sized = cut(sized_of(docs, row_no))
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
@@ -142,58 +164,52 @@ def mix(docs: DataFrame, row_no: str = "") -> tuple[DataFrame, DataFrame]:
     q = cut(q.withColumn("to", F.when(F.col("source_no") == F.max("source_no").over(every), F.lit(2.0)).otherwise(F.col("to"))))
 
     small = q.select("source_no", "blocks", "quota", "source_size", "target")
-    taken = slots(q).join(small, "source_no").withColumn("block", F.pmod("j", "blocks"))
-    taken = permuted(taken, "block", "blocks", F.col("source_no"), F.floor(F.col("j") / F.col("blocks")))
-    times = taken.groupBy("source_no", "block").agg(
-        F.count("*").alias("times"), F.max(F.col("j") == F.col("quota") - 1).alias("final"), F.first("blocks").alias("blocks"), F.first("source_size").alias("source_size"), F.first("target").alias("target")
-    )
+    taken = slots(q, seed).join(small, "source_no").withColumns({"pass": F.floor(F.col("j") / F.col("blocks")), "block": F.pmod("j", "blocks")})
+    taken = permuted(taken, "block", "blocks", F.col("source_no"), F.col("pass"))
+    # all slots take whole blocks, but for the last block of a source and the last slot, which is cut short by what is over
     length = F.when(F.col("block") == F.col("blocks") - 1, F.col("source_size") - F.col("block") * BLOCK).otherwise(F.lit(BLOCK))
-    times = cut(times.withColumn("length", length))
-    over = times.groupBy("source_no").agg(F.greatest(F.sum(F.col("times") * F.col("length")) - F.round(F.first("target")).cast("bigint"), F.lit(0)).alias("over"))
-    times = times.join(over, "source_no").select(
-        "source_no", "block", "times", F.when(F.col("final"), F.greatest(F.col("length") - F.col("over"), F.lit(0))).otherwise(F.col("length")).alias("last_words")
-    )
+    taken = cut(taken.withColumn("length", length))
+    over = taken.groupBy("source_no").agg(F.greatest(F.sum("length") - F.round(F.first("target")).cast("bigint"), F.lit(0)).alias("over"))
+    whole = F.when(F.col("j") == F.col("quota") - 1, F.greatest(F.col("length") - F.col("over"), F.lit(0))).otherwise(F.col("length"))
+    taken = taken.join(over, "source_no").select("source_no", "block", "pass", "shard", whole.alias("length"))
+
     first, last = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
-    parts = placed.withColumn("block", F.explode(F.sequence(first, last)))
-    parts = parts.join(times, ["source_no", "block"])
-    begin, end = F.greatest("start", F.col("block") * BLOCK), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
-    parts = parts.select("row_no", (begin - F.col("start")).alias("at"), (end - begin).alias("words"), "times", (F.col("block") * BLOCK + F.col("last_words") - begin).alias("cut"))
-    # the last time, the block's first last_words words are taken
-    short = F.greatest(F.least("cut", "words"), F.lit(0))
-    pieces = parts.select("row_no", F.explode(F.array(
-        F.struct(F.col("at"), short.alias("words"), F.col("times").alias("times")),
-        F.struct((F.col("at") + short).alias("at"), (F.col("words") - short).alias("words"), (F.col("times") - 1).alias("times")),
-    )).alias("p")).select("row_no", "p.*").where("words > 0 and times > 0")
-    return rows, pieces
-
-
-def mix_report(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row of docs."""
-    rows, pieces = mix(docs)
-    taken = pieces.groupBy("row_no").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    return rows.join(taken, "row_no", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
-
-
-def mix_documents(docs: DataFrame) -> DataFrame:
+    parts = placed.withColumn("block", F.explode(F.sequence(first, last))).join(taken, ["source_no", "block"])
+    begin = F.greatest("start", F.col("block") * BLOCK)
+    end = F.least(F.col("start") + F.col("size"), F.col("block") * BLOCK + F.col("length"))
+    return rows, parts.select("row_no", "pass", (begin - F.col("start")).alias("at"), (end - begin).alias("words"), "shard").where("words > 0")
+
+
+def mix_report(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken and shards (those that have words of it) of every row of docs."""
+    rows, pieces = mix(docs, seed=seed)
+    taken = pieces.groupBy("row_no").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_set("shard")).alias("shards"))
+    return rows.join(taken, "row_no", "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), F.coalesce("shards", F.array().cast("array<bigint>")).alias("shards")
+    )
+
+
+def mix_documents(docs: DataFrame, shard: str = "", seed: int = SEED) -> DataFrame:
     """The mix as documents, with the columns of docs: a row for each pass in which a document was taken, its text the words taken in that pass.
 
-    A document that is taken whole keeps its text as it is. n_chars, where docs has it, is that of the new text.
+    shard: name of a further column with the shard of the row's first word. A shard's rows lie in
+    one file, one behind the other in a pseudorandom order. n_chars, where docs has it, is that of the new text.
     """
-    numbered = cut(docs.withColumn("mix_row_no", F.monotonically_increasing_id()))
-    size = F.size("words_of")
+    names = docs.columns
+    numbered = cut(docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")).withColumn("row_no", F.monotonically_increasing_id()))
 
     def of_rows() -> DataFrame:
-        pieces = mix(numbered, "mix_row_no")[1].select("row_no", F.struct("at", "words", "times").alias("p"))
-        return pieces.groupBy("row_no").agg(F.sort_array(F.collect_list("p")).alias("mix_pieces"))
-
-    got = settled(docs.sparkSession, of_rows)
-    both = numbered.join(got, numbered.mix_row_no == got.row_no).drop("row_no", "mix_row_no")
-    both = both.withColumn("mix_pass", F.explode(F.sequence(F.lit(1).cast("bigint"), F.array_max(F.transform("mix_pieces", lambda p: p["times"])))))
-    own = F.filter("mix_pieces", lambda p: p["times"] >= F.col("mix_pass"))
-    both = both.withColumns({"mix_own": own, "words_of": F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))})
-    count = F.aggregate("mix_own", F.lit(0).cast("bigint"), lambda s, p: s + p["words"])
-    chosen = F.array_join(F.flatten(F.transform("mix_own", lambda p: F.slice(F.col("words_of"), p["at"].cast("int") + 1, p["words"].cast("int")))), " ")
-    text = F.when(count == size, F.col("text")).otherwise(chosen)
-    made = {"text": text} | ({"n_chars": F.length("text").cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    both = both.withColumn("text", made.pop("text"))
-    return both.withColumns(made).select(*docs.columns) if made else both.select(*docs.columns)
+        pieces = mix(numbered.select("row.doc_id", "row.source", "row.text", "row_no"), "row_no", seed)[1]
+        return pieces.groupBy("row_no", "pass").agg(F.sort_array(F.collect_list(F.struct("at", "words", "shard"))).alias("pieces"))
+
+    got = settled(docs.sparkSession, of_rows).withColumn("shard", F.col("pieces")[0]["shard"])
+    both = numbered.select("row_no", "row").join(got, "row_no")
+    words = F.regexp_extract_all("row.text", F.lit(f"({WORD})"), F.lit(1))
+    count = F.aggregate("pieces", F.lit(0).cast("bigint"), lambda s, p: s + p["words"])
+    chosen = F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(F.col("words_of"), p["at"].cast("int") + 1, p["words"].cast("int")))), " ")
+    both = both.withColumn("words_of", words)
+    both = both.withColumn("new", F.when(count == F.size("words_of"), F.col("row.text")).otherwise(chosen))
+    both = both.repartition("shard").sortWithinPartitions("shard", uniform(seed, F.lit("row"), F.col("row_no"), F.col("pass")))
+    made = {"text": F.col("new"), "n_chars": F.length("new").cast(dict(docs.dtypes).get("n_chars", "bigint"))}
+    shown = [made[c].alias(c) if c in made else F.col("row").getField(c).alias(c) for c in names]
+    return both.select(*shown, *([F.col("shard").alias(shard)] if shard else []))

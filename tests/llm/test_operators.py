@@ -357,6 +357,70 @@ def test_mix_meets_its_targets(spark, docs, odd, none):
     assert mixing.mix_report(none).collect() == []
 
 
+QUOTAS = "source_no int, quota bigint, total bigint, since double, to double"
+
+
+def test_shards_take_slots_as_they_draw_them(spark):
+    quota = {1: 4000, 2: 900, 3: 1, 4: 5339}
+    total, rows, since = sum(quota.values()), [], 0.0
+    for k, n in quota.items():
+        rows.append((k, n, total, since, 2.0 if k == 4 else since + n / total))
+        since += n / total
+    quotas = spark.createDataFrame(rows, QUOTAS)
+    made = {}
+    for seed in (1, 2):
+        drawn = sorted((r["source_no"], r["shard"], r["n"]) for r in mixing.drawn_counts(quotas, seed).collect())
+        want, counts, left, over = {}, Counter(), [], []
+        for source, shard, n in drawn:  # one slot after the other
+            for _ in range(n):
+                if counts[source] < quota[source]:
+                    want[(source, counts[source])] = shard
+                else:
+                    over.append(shard)
+                counts[source] += 1
+        left = [(source, j) for source in quota for j in range(counts[source], quota[source])]
+        want |= dict(zip(left, over, strict=True))
+        got = {(r["source_no"], r["j"]): r["shard"] for r in mixing.slots(quotas, seed).collect()}
+        assert got == want and Counter(got.values()) == Counter({k: min(mixing.SHARD, total - k * mixing.SHARD) for k in range(-(-total // mixing.SHARD))})
+        made[seed] = got
+        spread = [sum(1 for (s, _), k in got.items() if s == 1 and k == shard) for shard in range(5)]
+        assert all(300 < n < 500 for n in spread) and len(set(spread)) > 1  # 400 expected, drawn anew by each shard
+    assert made[1] != made[2]
+
+
+def test_permutations_take_each_number_once(spark):
+    df = spark.range(500).selectExpr("id % 250 as number", "250L as n", "id div 250 as k")
+    got = mixing.permuted(df, "number", "n", F.col("k")).collect()
+    each = [[r["number"] for r in got if r["k"] == k] for k in (0, 1)]
+    assert all(sorted(x) == list(range(250)) and x != list(range(250)) for x in each) and each[0] != each[1]
+
+
+def test_documents_are_packed_end_to_end(spark):
+    rows = [(k, k, k % 37, k % 2) for k in range(1, 2000)]
+    got = mixing.positions(spark.createDataFrame(rows, "row_no bigint, doc_id bigint, size bigint, source_no bigint"), 7).collect()
+    for source in (0, 1):
+        own = sorted((r["start"], r["size"]) for r in got if r["source_no"] == source and r["size"])
+        assert [a for a, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
+
+
+def test_draws_decide_where_documents_stand(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one, again, other = (rows_of(mixing.mix_report(docs, seed=s)) for s in (1, 1, 2))
+    assert sorted(map(str, one)) == sorted(map(str, again))
+    both = [({r["doc_id"]: r["shards"] for r in x}, {r["doc_id"]: r["taken"] for r in x}) for x in (one, other)]
+    assert both[0][0] != both[1][0]
+    made = rows_of(mixing.mix_documents(docs, "shard", 1))
+    assert all(r["shard"] in both[0][0][r["doc_id"]] for r in made)
+
+
+def test_mixed_documents_keep_columns_of_any_name(spark):
+    rows = [(k, "some words of a text " * 30, None if k % 4 == 0 else "s", k, None, "x", 1) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, row_no bigint, words_of string, pieces string, shard int")
+    made = mixing.mix_documents(df)
+    assert made.columns == df.columns and all(r["row_no"] == r["doc_id"] and r["words_of"] is None and (r["pieces"], r["shard"]) == ("x", 1) for r in made.collect())
+    assert mixing.mix_documents(df.limit(0)).collect() == []
+
+
 def test_mixed_documents_hold_the_words_taken(spark, docs):
     report, made = rows_of(mixing.mix_report(docs)), rows_of(mixing.mix_documents(docs))
     words = Counter()
