@@ -4,13 +4,13 @@ A document's set is that of its distinct word shingles, hashed to 64 bits; docum
 are one class. In each of TREES independent trees the classes branch by the shingle that is least
 under the tree's hash of that level: two sets of similarity s go to the same child with
 probability s. A node of LIMIT members at most is a leaf, whose members are compared exhaustively;
-a larger node branches on. Nodes that are still larger on level SPLIT are split by bands of set sizes,
-two for each class, so that sets whose sizes allow a similarity of 0.8 share a band; bands of LIMIT
-members at most are leaves. Larger ones branch by two tokens at once, so that a pair at 0.8 shares a
-child in 0.96 of cases. Classes in children that are still larger are crowded: an exact prefix-filter
-join over them finds every link between two components that is left. A pair at 0.8 thus comes to a
-comparison in a tree with probability 0.8 ** 2 * 0.96 at least, and TREES trees miss 0.386 ** TREES,
-1 in 90,000.
+a larger node branches on. Nodes that are still larger on level SPLIT branch by two tokens at once, so
+that a pair at 0.8 shares a child in 0.96 of cases. Children that are larger than LIMIT are split by
+bands of set sizes, two for each class, so that sets whose sizes allow a similarity of 0.8 share a
+band; bands of LIMIT members at most are leaves. Classes in larger bands are crowded: an exact
+prefix-filter join over them finds every link between two components that is left. A pair at 0.8 thus
+comes to a comparison in a tree with probability 0.8 ** 2 * 0.96 at least, and TREES trees miss
+0.386 ** TREES, 1 in 90,000.
 
 In the trees of the first round large nodes are also dealt into chunks of LIMIT members, each with the
 same PIVOTS, so that a large group of near copies, which no branching splits, becomes one component in
@@ -50,7 +50,7 @@ from sparkfolio.llm.common import cut, map_texts, settled
 
 #: DEPTH: tokens of a tree, one for each level and a second one for the last.
 TREES, DEPTH, LIMIT, PIVOTS, KEEP = 12, 4, 48, 4, 24
-#: Level on which large nodes are split by bands and branch by two tokens (the next is the last), bits of a bucket of shingles, buckets that are summed up together, entries of a block of a shingle's list.
+#: Level on which large nodes branch by two tokens (the next is the last), bits of a bucket of shingles, buckets that are summed up together, entries of a block of a shingle's list.
 SPLIT, BUCKET, TOGETHER, BLOCK = 1, 20, 4096, 512
 #: Band of a set's size: sizes of a ratio of 0.8 are in the same band or in neighbouring ones.
 BAND = "cast(floor(ln(n) / ln(1.2501)) as int)"
@@ -170,9 +170,6 @@ def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     for level in range(SPLIT + 2):
         rows = leaves_of(sized(rows))
-        if level == SPLIT:
-            bands = rows.drop("size").withColumn("band", F.explode(F.expr(f"array({BAND}, {BAND} + 1)")))
-            rows = leaves_of(sized(cut(bands.withColumn("node", F.xxhash64("node", "band")).drop("band"))))
         if level in (0, SPLIT + 1):  # groups that no branching splits
             some, chunks = rows.where(F.col("tree") < ROUNDS[0]), F.ceil(F.col("size") / LIMIT).cast("int")
             pivots = [F.min(F.struct(F.xxhash64("rep", F.lit(level), F.lit(k)).alias("turn"), member.alias("member"))).alias(f"p{k}") for k in range(PIVOTS)]
@@ -185,7 +182,8 @@ def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
             tokens = [F.struct(F.lit(k), F.element_at("rest", level + 1 + k)) for k in range(1 + (level == SPLIT))]
             rows = rows.withColumn("token", F.explode(F.array(*tokens)))
             rows = rows.select("rep", "n", "sig", "tree", F.xxhash64("node", "token").alias("node"), "rest")
-    crowd = rows.select("node", "rep")
+    bands = rows.drop("size").withColumn("band", F.explode(F.expr(f"array({BAND}, {BAND} + 1)")))
+    crowd = leaves_of(sized(cut(bands.withColumn("node", F.xxhash64("node", "band")).drop("band")))).select("node", "rep")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
