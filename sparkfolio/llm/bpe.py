@@ -3,7 +3,8 @@
 A pre-token's symbols stand in an array; the leaves of a segment tree hold the merge rank of each
 symbol with its right neighbour. The root yields the leftmost lowest rank; a merge updates at most
 three leaves and the path above each, until the root holds no mergeable pair. Encoded pre-tokens are
-kept in a bounded cache, so that a word of the language is merged once a task.
+kept in a bounded cache of two generations: where the younger is full it becomes the elder, whose words
+come back as they are met, so that words of frequent use stay and no text makes the cache grow.
 
 Defined results: null and empty texts have no tokens and decode to the empty text; texts of white
 space only likewise. Texts of any length are encoded whole.
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame
 
 from sparkfolio.llm.common import map_texts
 
-#: A pre-token that is longer isn't kept in the cache, and the cache starts anew beyond so many words.
-CACHED_LENGTH, CACHED_WORDS = 64, 1 << 19
+#: A pre-token that is longer isn't kept in the cache; words of each of the cache's two generations.
+CACHED_LENGTH, CACHED_WORDS = 64, 1 << 17
 NONE = 1 << 40
 #: Letters and digits that the regex module knows and the vocabulary's own library (Unicode 16) doesn't.
 NEWER = (
@@ -38,6 +39,7 @@ NEWER = (
     r"\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U0003"
     r"23b0-\U00033479\U0003d000-\U0003fc3f"
 )
+FIRST_NEWER = chr(int(NEWER[2:10], 16))
 #: Capitals of Unicode 16 that Python doesn't lower.
 LOWERED = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, **{0x10D50 + k: 0x10D70 + k for k in range(22)}}
 RAISED = regex.compile(f"[{''.join(map(chr, LOWERED))}]")
@@ -48,9 +50,7 @@ def leftmost_merges(ids: list[int], merges: dict[int, tuple[int, int]]) -> list[
     n = len(ids)
     if n < 2:
         return ids
-    size = 1
-    while size < n - 1:
-        size *= 2
+    size = 1 << (n - 2).bit_length()
     # a leaf's value is rank * size + position: the least is the leftmost of the lowest rank
     none = NONE * size
     tree = [none] * (2 * size)
@@ -124,7 +124,8 @@ class WordBpe:
         self.newer = regex.compile(f"[{NEWER}]").search
         self.cut = regex.compile("|".join(map(regex.escape, self.special))).split if self.special else None
         self.marks = regex.compile("|".join(map(regex.escape, self.special))).findall
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.young: dict[str, tuple[bytes, bytes]] = {}
+        self.elder: dict[str, tuple[bytes, bytes]] = {}
 
     def word(self, word: str) -> tuple[bytes, bytes]:
         """The word's ids as little-endian unsigned 32-bit integers, and its decoded text with a blank before each token."""
@@ -146,16 +147,16 @@ class WordBpe:
 
     def plain(self, text: str, out: list[tuple[bytes, bytes]]) -> None:
         text = self.normal(text)
-        words = self.find(text) if text.isascii() or not self.newer(text) else self.find_older(text)
-        cache = self.cache
-        for w in set(words).difference(cache):
-            if len(w) <= CACHED_LENGTH:
-                cache[w] = self.word(w)
-        if len(cache) > CACHED_WORDS:
-            own = set(words)
-            self.cache = {w: cache[w] for w in own if w in cache} if len(own) < CACHED_WORDS else {}
-        get = cache.get
-        out += [get(w) or self.word(w) for w in words]
+        words = self.find(text) if text.isascii() or max(text) < FIRST_NEWER or not self.newer(text) else self.find_older(text)
+        for at in range(0, len(words), CACHED_WORDS):  # what is met in a part of a text fits into the cache
+            part = words[at : at + CACHED_WORDS]
+            missing = set(part).difference(self.young)
+            if len(self.young) + len(missing) > CACHED_WORDS:
+                self.young, self.elder, missing = {}, self.young, set(part)
+            young, old, longer = self.young, self.elder.get, {}
+            for w in missing:
+                (young if len(w) <= CACHED_LENGTH else longer)[w] = old(w) or self.word(w)
+            out += [young.get(w) or longer[w] for w in part] if longer else map(young.__getitem__, part)
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """All ids as bytes, and the decoded text as UTF-8."""

@@ -25,10 +25,13 @@ from pyspark.sql import functions as F
 
 from sparkfolio.llm.common import SPACES, cut, settled, shared_folder
 
-#: State in RocksDB. Stores of a finished run are closed soon, and files aren't allocated ahead, so that many small stores take little disk.
+#: State in RocksDB. A store is closed when its batch is written, all of an executor's share a bounded memory, and files aren't allocated ahead, so that many small stores take little memory and disk.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.maintenanceInterval": "3s",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 

@@ -57,7 +57,7 @@ BAND = "cast(floor(ln(n) / ln(1.2501)) as int)"
 #: Trees up to which each round goes; components are contracted in between.
 ROUNDS = (2, 6, TREES)
 SIGNATURE = TREES * DEPTH
-CACHED = 1 << 19
+CACHED = 1 << 17
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 FACTORS = (np.random.default_rng(8).integers(0, 1 << 63, SIGNATURE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 

@@ -41,7 +41,7 @@ LEAST, GATE, BASE = 4, 2.5, 0.3
 PASSES, PATIENCE, HELD, BATCH, RATE, SPREAD = 80, 12, 8, 128, 0.01, 0.05
 #: Penalty on the squares of weights and of factors, for the whole sample.
 WEIGHT_DECAY, FACTOR_DECAY = 10.0, 3.0
-CACHED = 1 << 18
+CACHED = 1 << 17
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 

@@ -149,6 +149,18 @@ def test_encoding_is_that_of_the_library(spark, docs, odd, none):
     assert bpe.bpe_encode(none, vocabulary(), ["doc_id"]).collect() == []
 
 
+def test_encoding_with_a_small_cache(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 5)
+    own, twin = bpe.WordBpe(vocabulary()), Tokenizer.from_file(vocabulary())
+    twin.no_truncation(), twin.no_padding()
+    for text in ["one two three four five six seven one two", "one " + "z" * 100 + " two " + "z" * 100, "a b c d e f g h a b c", "one", "", "\u0558 a\U0001e6f0 b"]:
+        ids = twin.encode(text, add_special_tokens=False).ids
+        assert own.encode(text) == (struct.pack(f"<{len(ids)}I", *ids), twin.decode(ids, skip_special_tokens=False).encode())
+        assert len(own.young) <= 5 and len(own.elder) <= 5
+
+
 def test_segment_tree_merges_the_leftmost_lowest_pair():
     import random
 
