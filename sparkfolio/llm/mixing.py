@@ -33,8 +33,8 @@ from pyspark.sql import Window
 
 from sparkfolio.llm.common import cut, settled
 
-#: Words of a block, slots of an output shard, rows of a bucket, rounds of the permutation, cells of the draw, and the seed of all draws.
-BLOCK, SHARD, BUCKET_ROWS, ROUNDS, CELLS, SEED = 128, 1024, 4096, 8, 1024, 20_250
+#: Words of a block, slots of an output shard, rows of a bucket, slots of a task, rounds of the permutation, cells of the draw, and the seed of all draws.
+BLOCK, SHARD, BUCKET_ROWS, TASK_SLOTS, ROUNDS, CELLS, SEED = 128, 1024, 4096, 1 << 16, 8, 1024, 20_250
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -113,7 +113,9 @@ def slots(quotas: DataFrame, seed: int = SEED) -> DataFrame:
     quota = quotas.select("source_no", "quota")
     before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = drawn_counts(quotas, seed).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    counts = cut(counts.join(quota, "source_no"))
+    total = quotas.agg(F.max("total")).first()[0] or 0
+    # a small row stands for many slots, so that tasks are counted by these
+    counts = cut(counts.join(quota, "source_no").repartition(max(1, total // TASK_SLOTS), "source_no", "shard"))
 
     def numbered(runs: DataFrame, *more: str) -> DataFrame:
         """A row for each number j of the runs [first, last]."""
