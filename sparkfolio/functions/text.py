@@ -79,7 +79,7 @@ def number(c: Column) -> Column:
 
 def excel_date(serial: Column, base_1904: bool = False) -> Column:
     """A spreadsheet's day number as a timestamp in UTC, to the second; the 1900 system's 29 February is skipped, days before 1 give null."""
-    shift = F.lit(1462.0) if base_1904 else F.when(serial < 60, F.lit(1.0)).otherwise(F.lit(0.0))
+    shift = F.lit(1462.0) if base_1904 else F.when(serial < 61, F.lit(1.0)).otherwise(F.lit(0.0))
     seconds = F.floor((serial + shift - 25569.0) * 86400 + 0.5).cast("bigint")
     return F.when(serial >= 1, F.timestamp_seconds(seconds)) if not base_1904 else F.when(serial >= 0, F.timestamp_seconds(seconds))
 

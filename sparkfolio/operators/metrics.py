@@ -69,3 +69,27 @@ def by_category(results: DataFrame, *keys: str) -> DataFrame:
         F.count("*").alias("files"), F.count_if("ok").alias("n_ok"), F.sum(ok("pages")).alias("pages"), (F.sum(ok("ms")) / F.sum(ok("pages"))).alias("ms_page"), F.avg(ok("cer")).alias("mean_cer"),
         F.median(ok("cer")).alias("median_cer"), F.avg(ok("wer")).alias("mean_wer"), F.avg(ok("word_recall")).alias("mean_recall"), F.avg(ok("confidence")).alias("mean_confidence"),
     )
+
+
+def judged_terms(expected: DataFrame, found: DataFrame, keys: list[str], min_overlap: float = 0.2) -> DataFrame:
+    """keys and the tp, fp and fn of boxes: found boxes are assigned to expected ones of the same keys, each once, best overlap first.
+
+    expected and found: keys, id and a box (x0, y0, x1, y1). The pairs are those of one page and term.
+    """
+    side = lambda df, c: df.select(*keys, *(F.col(x).alias(f"{c}_{x}") for x in ("id", "x0", "y0", "x1", "y1")))
+    shared = overlap_of("e", "f")
+    pairs = side(expected, "e").join(side(found, "f"), keys).withColumn("overlap", shared).where(F.col("overlap") >= min_overlap)
+    by = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("overlap")).alias("far"), "e_id", "f_id"))).alias("p"))
+    state = F.struct(F.array().cast("array<bigint>").alias("e"), F.array().cast("array<bigint>").alias("f"))
+    taken = F.aggregate("p", state, lambda s, x: F.when(F.array_contains(s["e"], x["e_id"]) | F.array_contains(s["f"], x["f_id"]), s).otherwise(F.struct(F.array_append(s["e"], x["e_id"]).alias("e"), F.array_append(s["f"], x["f_id"]).alias("f"))))
+    hits = by.select(*keys, F.size(taken["e"]).alias("tp"))
+    counts = expected.groupBy(*keys).agg(F.count("*").alias("n_e")).join(found.groupBy(*keys).agg(F.count("*").alias("n_f")), keys, "full_outer").join(hits, keys, "left")
+    tp = F.coalesce("tp", F.lit(0)).cast("bigint")
+    return counts.select(*keys, tp.alias("tp"), (F.coalesce("n_f", F.lit(0)) - tp).alias("fp"), (F.coalesce("n_e", F.lit(0)) - tp).alias("fn"))
+
+
+def overlap_of(a: str, b: str) -> Column:
+    """Shared area over the area of the smaller box."""
+    shared = lambda n: F.greatest(F.least(f"{a}_{n}1", f"{b}_{n}1") - F.greatest(f"{a}_{n}0", f"{b}_{n}0"), F.lit(0.0))
+    area = lambda c: (F.col(f"{c}_x1") - F.col(f"{c}_x0")) * (F.col(f"{c}_y1") - F.col(f"{c}_y0"))
+    return shared("x") * shared("y") / F.least(area(a), area(b))

@@ -18,6 +18,11 @@ def logit(p: Column) -> Column:
     return F.ln(p / (1 - p))
 
 
+def readable(lines: DataFrame, least: float = 0.5) -> DataFrame:
+    """Lines that have a text and were read with that confidence."""
+    return lines.where((F.trim("text") != "") & (F.col("confidence") >= least))
+
+
 def page_quality(lines: DataFrame, *keys: str) -> DataFrame:
     """keys, n_lines and quality (null below LEAST_LINES lines) of pages, from lines with chars, confidence, height_ratio and margin."""
     sums = lines.groupBy(*keys).agg(

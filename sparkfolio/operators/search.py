@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 #: Of Java's syntax, what a literal needs escaped.
 SPECIAL = re.compile(r"([\\.\[\]{}()*+?^$|#&~\-])")
@@ -53,3 +55,34 @@ def near(docs: DataFrame, word: str, others: list[str], window: int, wanted: boo
     for x in others:
         beside = beside | F.contains(before, F.lit(x)) | F.contains(after, F.lit(x))
     return placed.where(beside if wanted else ~beside).select("doc_id", F.col("at").cast("bigint").alias("pos"))
+
+
+def composed(text: Column) -> Column:
+    """Text in composed form (NFC): Spark has no expression for it, so that texts beyond ASCII go through Arrow."""
+
+    @F.pandas_udf("string")
+    def nfc(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFC", v))
+
+    return nfc(text)
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Share of the longer of two texts that stays, by edits: 1 for equal ones, case aside."""
+    a, b = F.lower(a), F.lower(b)
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
+
+
+def closest_lines(lines: DataFrame, needle: str, keys: list[str], top: int = 3) -> DataFrame:
+    """keys, text and score of the lines of each key that are closest to the needle: the best so many distinct texts, ties by text.
+
+    A line counts by its best stretch of as many words as the needle has.
+    """
+    n = len(needle.split())
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    starts = F.sequence(F.lit(1), F.greatest(F.size("own") - (n - 1), F.lit(1)))
+    best = F.array_max(F.transform(starts, lambda k: similarity(F.array_join(F.slice("own", k, F.lit(n)), " "), F.lit(needle))))
+    scored = lines.select(*keys, "text", words.alias("own")).where(F.size("own") > 0).select(*keys, "text", F.round(best, 8).alias("score")).distinct()
+    window = Window.partitionBy(*keys).orderBy(F.desc("score"), "text")
+    return scored.withColumn("place", F.row_number().over(window)).where(F.col("place") <= top).drop("place")

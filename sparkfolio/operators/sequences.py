@@ -9,13 +9,6 @@ from pyspark.sql import Window
 from sparkfolio.model import blocks_of_text
 
 
-def islands(rows: DataFrame, key: str, order: list[str], value: Column, step: float) -> DataFrame:
-    """rows with part: the number of the run, which ends where value grows by more than step."""
-    w = Window.partitionBy(key).orderBy(*order)
-    wide = rows.withColumn("gap", F.coalesce(value - F.lag(value).over(w) > step, F.lit(False)))
-    return wide.withColumn("part", F.sum(F.col("gap").cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("gap")
-
-
 def capped(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:
     """The first rows of each key."""
     return rows.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("r") <= most).drop("r")

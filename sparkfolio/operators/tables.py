@@ -14,7 +14,7 @@ def gutter(gaps: list[float], height: float) -> float:
     if not gaps:
         return max(0.75 * height, 1.0)
     g = sorted(x for x in gaps if x > 0) or [height]
-    quarter = g[round((len(g) - 1) * 0.25)]
+    quarter = g[int((len(g) - 1) * 0.25 + 0.5)]
     jumps = [(b / a, (a * b) ** 0.5) for k, (a, b) in enumerate(zip(g, g[1:], strict=False)) if b / a >= 1.5 and k + 1 >= 0.1 * len(g)]
     wide = min(2 * quarter, max(jumps)[1]) if jumps else 0.0
     return min(max(0.75 * height, 1.0, wide), max(2.5 * height, 1.0))  # wider gaps part cells anyhow

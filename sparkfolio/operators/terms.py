@@ -492,19 +492,31 @@ def lines_of(text: str) -> tuple[list[Line], float]:
     return out, float(max(SHEET, 2 * TOP + STEP * len(rows)))
 
 
+#: Rows of a batch that are taken at once, and rows that are handed on together.
+SLICE, HANDED_ON = 256, 8192
+
+
 def mapped(rows: DataFrame, key: str, column: str, schema: str, hits) -> DataFrame:
-    """key and what hits yields for the value of column, row by row in Arrow batches."""
+    """key and what hits yields for the value of column, row by row in Arrow batches; memory is bounded by some rows and their hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, out = b.column(0), []
-            kept = []
-            for k, value in enumerate(b.column(1).to_pylist()):
-                for h in hits(value) if value is not None else ():
-                    kept.append(k)
-                    out.append(h)
+        def made() -> pa.RecordBatch:
             columns = [ids.take(pa.array(kept, pa.int64()))] + [pa.array([h[c] for h in out], kinds[c]) for c in kinds]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, *kinds])
+            return pa.RecordBatch.from_arrays(columns, names=[key, *kinds])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                b = batch.slice(at, SLICE)
+                ids, out, kept = b.column(0), [], []
+                for k, value in enumerate(b.column(1).to_pylist()):
+                    for h in hits(value) if value is not None else ():
+                        kept.append(k)
+                        out.append(h)
+                        if len(out) >= HANDED_ON:
+                            yield made()
+                            out, kept = [], []
+                if out:
+                    yield made()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

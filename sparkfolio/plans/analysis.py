@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.functions.text import is_unspaced, key, page_ranges
-from sparkfolio.model import lines_of_texts
+from sparkfolio.functions.text import is_unspaced, page_ranges
 from sparkfolio.operators import metrics, quality
 from sparkfolio.operators.language import SHORT_WORDS, coverage, language
-from sparkfolio.plans.searches import LINES
 from sparkfolio.registry import query, table
 
 
@@ -113,7 +111,14 @@ def word_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.word_recall(pairs(spark, sf_dir), "item_id").withColumn("recall", F.round("recall", 8))
 
 
-@query()
+@query(
+    rf"""
+    WITH RECURSIVE {PAIRS}, w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(expected), '\s+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(lower(found), '\s+'), lambda x: x <> '') AS b FROM p),
+    v AS (SELECT item_id, a, b, list_distinct(list_concat(a, b)) AS v FROM w),
+    s AS (SELECT item_id, len(a) AS n, array_to_string(list_transform(a, lambda x: chr(CAST(32 + list_position(v, x) AS INT))), '') AS a, array_to_string(list_transform(b, lambda x: chr(CAST(32 + list_position(v, x) AS INT))), '') AS b, len(v) AS k FROM v)
+    SELECT item_id, round(least(levenshtein(a, b) / n, 1), 8) AS wer FROM s
+    """
+)
 def wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("item_id", F.round(metrics.wer(F.lower("expected"), F.lower("found")), 8).alias("wer"))
 
@@ -231,24 +236,6 @@ def page_range_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(page_ranges(F.collect_set("l_linenumber")).alias("pages"))
 
 
-@query(
-    rf"""
-    WITH {LINES}, k AS (SELECT DISTINCT source, doc_id, regexp_replace(trim(regexp_replace(lower(text), '[ \t\n\r\f\v]+', ' ', 'g'), ' '), '[0-9]+', '#', 'g') AS key FROM lines),
-    n AS (SELECT source, count(DISTINCT doc_id) AS n FROM lines GROUP BY source),
-    c AS (SELECT source, key, count(*) AS n_docs FROM k GROUP BY ALL)
-    SELECT c.source, key, n_docs FROM c JOIN n ON c.source IS NOT DISTINCT FROM n.source WHERE n.n >= 3 AND n_docs >= greatest(3, 0.05 * n.n)
-    """
-)
-def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that a twentieth of a source's documents repeat, three at least: the source is the document, its documents are pages."""
-    lines = lines_of_texts(table(spark, sf_dir, "documents"), "source", "doc_id")
-    keys = lines.select("source", "doc_id", key(F.col("text")).alias("key")).distinct()
-    sizes = lines.groupBy("source").agg(F.countDistinct("doc_id").alias("n"))
-    found = keys.groupBy("source", "key").agg(F.count("*").alias("n_docs")).where("n_docs >= 3")
-    sizes = sizes.withColumnRenamed("source", "own")
-    return found.join(sizes, found.source.eqNullSafe(sizes.own)).where("n >= 3 and n_docs >= 0.05 * n").select("source", "key", "n_docs")
-
-
 @query("SELECT lang, count_if(regexp_matches(text, '[\\x{4E00}-\\x{9FFF}\\x{3040}-\\x{30FF}]')) AS n_unspaced, count(*) AS n FROM documents GROUP BY lang")
 def script_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(is_unspaced(F.col("text"))).alias("n_unspaced"), F.count("*").alias("n"))

@@ -5,29 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.functions.text import escape_cell, escape_csv, yaml
+from sparkfolio.functions.text import escape_cell, escape_csv
 from sparkfolio.model import document_type
 from sparkfolio.operators.exports import documents_of_texts, export, table_csv, table_markdown
 from sparkfolio.plans.searches import LINES
+from sparkfolio.operators.terms import mapped
 from sparkfolio.registry import query, table
+from sparkfolio.sources import notes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_of_texts(table(spark, sf_dir, "documents"))
 
 
-TEXT = f"WITH {LINES}, b AS (SELECT doc_id, block_ord, string_agg(text, chr(10) ORDER BY line_ord) AS t FROM lines GROUP BY ALL), d AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY block_ord) AS t FROM b GROUP BY doc_id)"
+TEXT = f"WITH {LINES}, b AS (SELECT doc_id, block_ord, string_agg(text, chr(10) ORDER BY line_ord) AS t FROM lines GROUP BY ALL), d AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY block_ord) AS t FROM b GROUP BY doc_id), e AS (SELECT documents.doc_id, t FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id)"
 
 
-@query(f"{TEXT} SELECT doc_id::VARCHAR AS source, coalesce(t, '') AS content FROM d")
+@query(f"{TEXT} SELECT doc_id::VARCHAR AS source, coalesce(t, '') AS content FROM e")
 def text_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export(documents(spark, sf_dir), "text").where("content != ''")
+    return export(documents(spark, sf_dir), "text")
 
 
-@query(f"{TEXT} SELECT doc_id::VARCHAR AS source, coalesce(t, '') AS content FROM d")
+@query(f"{TEXT} SELECT doc_id::VARCHAR AS source, coalesce(t, '') AS content FROM e")
 def markdown_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs alone, so that it is the text."""
-    return export(documents(spark, sf_dir), "markdown").where("content != ''")
+    return export(documents(spark, sf_dir), "markdown")
 
 
 @query(
@@ -39,11 +41,11 @@ def markdown_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     l AS (SELECT *, row_number() OVER (PARTITION BY doc_id, block ORDER BY pos) - 1 AS line FROM c WHERE full_),
     t AS (SELECT doc_id, printf('1,%d,%d,%.1f,%.1f,%.1f,%.1f,%.4f,', block, line, 100.0, 300.0 + pos * 40, 100.0 + length(text) * 12, 330.0 + pos * 40, 0.98)
                  || CASE WHEN regexp_matches(text, '[",\n\r]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS row_, pos FROM l)
-    SELECT doc_id::VARCHAR AS source, 'page,block,line,x0,y0,x1,y1,confidence,text' || chr(10) || string_agg(row_, chr(10) ORDER BY pos) AS content FROM t GROUP BY doc_id
+    SELECT documents.doc_id::VARCHAR AS source, 'page,block,line,x0,y0,x1,y1,confidence,text' || coalesce(chr(10) || string_agg(row_, chr(10) ORDER BY pos), '') AS content FROM documents LEFT JOIN t ON documents.doc_id = t.doc_id GROUP BY documents.doc_id
     """
 )
 def lines_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export(documents(spark, sf_dir), "csv").where(F.contains("content", F.lit("\n")))
+    return export(documents(spark, sf_dir), "csv")
 
 
 @query()
@@ -96,12 +98,17 @@ def table_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.na.fill(0.0).withColumnsRenamed({"A": "a", "N": "n", "R": "r"})
 
 
-@query("SELECT doc_id, '---' || chr(10) || 'title: ' || to_json(substring(string_split(text, chr(10))[1], 1, 40))::VARCHAR || chr(10) || CASE WHEN lang IS NOT NULL THEN 'language: ' || to_json(lang)::VARCHAR || chr(10) ELSE '' END || 'rows: ' || n_chars || chr(10) || '---' AS head FROM documents WHERE text IS NOT NULL AND n_chars IS NOT NULL")
+@query(
+    r"""
+    SELECT doc_id, '---' || chr(10) || CASE WHEN title <> '' THEN 'title: ' || to_json(title)::VARCHAR || chr(10) ELSE '' END || CASE WHEN lang IS NOT NULL THEN 'language: ' || to_json(lang)::VARCHAR || chr(10) ELSE '' END || 'rows: ' || n_chars || chr(10) || '---' || chr(10) AS head
+    FROM (SELECT *, trim(regexp_replace(substring(string_split(text, chr(10))[1], 1, 40), '\s+', ' ', 'g')) AS title FROM documents WHERE text IS NOT NULL AND n_chars IS NOT NULL)
+    """
+)
 def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Properties in fixed order; those that are null are left out."""
-    title = F.substring(F.get(F.split("text", "\n"), F.lit(0)), 1, 40)
-    rows = F.array_compact(F.array(F.concat(F.lit("title: "), yaml(title)), F.concat(F.lit("language: "), yaml(F.col("lang"))), F.concat(F.lit("rows: "), F.col("n_chars").cast("string"))))
-    return table(spark, sf_dir, "documents").where("text is not null and n_chars is not null").select("doc_id", F.concat(F.lit("---\n"), F.array_join(rows, "\n"), F.lit("\n---")).alias("head"))
+    first = F.substring(F.get(F.split("text", "\n"), F.lit(0)), 1, 40)
+    docs = table(spark, sf_dir, "documents").where("text is not null and n_chars is not null").select("doc_id", F.struct(F.col("n_chars").alias("rows"), F.col("lang").alias("language"), first.alias("title")).alias("meta"))
+    return mapped(docs, "doc_id", "meta", "head string", lambda meta: [{"head": notes.front_matter(meta)}])
 
 
 @query("""SELECT conv_id, turn, role || ',' || CASE WHEN regexp_matches(text, '[",\\n\\r]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS csv, '| ' || role || ' | ' || replace(regexp_replace(text, '\\s*\\n\\s*', ' ', 'g'), '|', '\\|') || ' |' AS md FROM conversations""")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from sparkfolio.functions.geometry import bounds, box, iou
-from sparkfolio.operators.layout import blocks_of_pages
+from sparkfolio.operators import tables
+from sparkfolio.operators.layout import Box, blocks_of_pages, paragraphs
+from sparkfolio.operators.terms import mapped
 from sparkfolio.registry import query, table
 
 BOXES = "b AS (SELECT p_partkey AS id, p_partkey // 20 AS page, CAST(p_partkey % 7 * 100 AS DOUBLE) AS x0, CAST(p_partkey % 5 * 40 AS DOUBLE) AS y0, p_partkey % 7 * 100 + p_size * 4.0::DOUBLE AS x1, CAST(p_partkey % 5 * 40 + 30 AS DOUBLE) AS y1 FROM part)"
@@ -51,46 +53,72 @@ def page_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def column_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stretches that two boxes of a page or more cover, by a sweep over edges."""
-    b = boxes(spark, sf_dir)
-    edges = b.select("page", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("s")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("s")))).alias("e"))
-    w = Window.partitionBy("page").orderBy("x")
-    steps = edges.groupBy("page", F.col("e.x").alias("x")).agg(F.sum("e.s").alias("s"))
-    steps = steps.select("page", "x", F.sum("s").over(w).alias("n"), F.lead("x").over(w).alias("after"))
-    opens = (F.col("n") >= 2) & (F.coalesce(F.lag("n").over(w), F.lit(0)) < 2)
-    steps = steps.withColumn("opens", opens.cast("bigint"))
-    return steps.withColumn("band", F.sum("opens").over(w)).where("n >= 2").groupBy("page", "band").agg(F.min("x").alias("x0"), F.max("after").alias("x1"))
+    """Stretches that two boxes of a page or more cover."""
+    each = lambda cells: [{"band": k, "x0": a, "x1": b} for k, (a, b) in enumerate(tables.column_bands([(c["x0"], c["x1"], "") for c in cells], 1e-9), 1)]
+    return mapped(cells_of_pages(spark, sf_dir), "page", "cells", "band bigint, x0 double, x1 double", each)
+
+
+def cells_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes of each page as an array."""
+    return boxes(spark, sf_dir).groupBy("page").agg(F.sort_array(F.collect_list(F.struct("y0", "x0", "id", "x1"))).alias("cells"))
 
 
 @query(
     f"""
     WITH {BOXES}, o AS (SELECT page, y0, x0 - lag(x1) OVER (PARTITION BY page, y0 ORDER BY x0, id) AS gap FROM b),
-    s AS (SELECT page, list_sort(list(gap) FILTER (gap > 0)) AS g FROM o GROUP BY page)
-    SELECT page, greatest(0.75 * 30, 1, 2 * g[CAST(floor((len(g) - 1) * 0.25 + 0.5) AS BIGINT) + 1]) AS gutter FROM s WHERE len(g) > 0
+    s AS (SELECT page, list_sort(list(gap) FILTER (gap > 0)) AS g, count(gap) AS n FROM o GROUP BY page),
+    j AS (SELECT page, g, n, list_max(list_transform(list_filter(range(1, len(g)), lambda k: g[k + 1] / g[k] >= 1.5 AND k >= 0.1 * len(g)), lambda k: struct_pack(r := g[k + 1] / g[k], m := sqrt(g[k] * g[k + 1])))) AS jump FROM s),
+    w AS (SELECT page, CASE WHEN jump IS NULL THEN 0 ELSE least(2 * CASE WHEN len(g) > 0 THEN g[CAST(floor((len(g) - 1) * 0.25 + 0.5) AS BIGINT) + 1] ELSE 30 END, jump.m) END AS wide FROM j)
+    SELECT page, round(least(greatest(22.5, 1, wide), 75), 8) AS gutter FROM w
     """
 )
 def gutter_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twice the lower quartile of a page's gaps, three quarters of the height of text at least."""
-    w = Window.partitionBy("page", "y0").orderBy("x0", "id")
-    gaps = boxes(spark, sf_dir).withColumn("gap", F.col("x0") - F.lag("x1").over(w)).where("gap > 0")
-    by = gaps.groupBy("page").agg(F.sort_array(F.collect_list("gap")).alias("g"))
-    quarter = F.get("g", F.floor((F.size("g") - 1) * 0.25 + 0.5).cast("int"))
-    return by.select("page", F.greatest(F.lit(22.5), 2 * quarter).alias("gutter"))
+    """The least gap that parts cells of a page, where text is 30 high."""
+
+    def each(cells: list[dict]) -> list[dict]:
+        gaps = [b["x0"] - a["x1"] for a, b in zip(cells, cells[1:], strict=False) if a["y0"] == b["y0"]]
+        return [{"gutter": round(float(tables.gutter(gaps, 30.0)), 8)}]
+
+    return mapped(cells_of_pages(spark, sf_dir), "page", "cells", "gutter double", each)
 
 
 @query(
     f"""
-    WITH {BOXES}, c AS (SELECT unnest(range(7)) AS k), p AS (SELECT id, k, least(x1, k * 100 + 80) - greatest(x0, k * 100) AS o, least(80, x1 - x0) AS n FROM b, c)
-    SELECT id, CAST(min(k) AS INT) AS col, CAST(max(k) - min(k) + 1 AS INT) AS span FROM p WHERE n > 0 AND o >= 0.2 * n GROUP BY id
+    WITH {BOXES}, c AS (SELECT unnest(range(7)) AS k), p AS (SELECT id, k, least(x1, k * 100 + 80) - greatest(x0, k * 100) AS o, least(80, x1 - x0) AS n, abs((x0 + x1) / 2 - (k * 100 + 40)) AS far FROM b, c),
+    h AS (SELECT id, min(CASE WHEN n > 0 AND o >= 0.2 * n THEN k END) AS a, max(CASE WHEN n > 0 AND o >= 0.2 * n THEN k END) AS z, arg_min(k, far * 10 + k) AS near FROM p GROUP BY id)
+    SELECT id, CAST(coalesce(a, near) AS INT) AS col, CAST(coalesce(z - a, 0) + 1 AS INT) AS span FROM h
     """
 )
 def cell_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns that each box falls into: those it overlaps by a fifth of the narrower."""
-    columns = F.array(*(F.lit(k) for k in range(7)))
-    narrow = F.least(F.lit(80.0), F.col("x1") - F.col("x0"))
-    hit = F.filter(columns, lambda k: (narrow > 0) & (F.least("x1", k * 100 + 80.0) - F.greatest("x0", k * 100.0) >= 0.2 * narrow))
-    b = boxes(spark, sf_dir).withColumn("hit", hit).where(F.size("hit") > 0)
-    return b.select("id", F.array_min("hit").alias("col"), (F.array_max("hit") - F.array_min("hit") + 1).alias("span"))
+    """Columns that each box falls into: those it overlaps by a fifth of the narrower, else the nearest."""
+    columns = [(k * 100.0, k * 100.0 + 80) for k in range(7)]
+
+    def each(cells: list[dict]) -> list[dict]:
+        found = [tables.place((c["x0"], c["x1"], ""), columns) for c in cells]
+        return [{"id": c["id"], "col": k, "span": n} for c, (k, n) in zip(cells, found, strict=True)]
+
+    return mapped(cells_of_pages(spark, sf_dir), "page", "cells", "id bigint, col int, span int", each).drop("page")
+
+
+@query(
+    """
+    WITH o AS (SELECT o_custkey AS page, o_orderkey, row_number() OVER w AS k, CASE WHEN o_orderkey % 5 = 0 AND row_number() OVER w > 1 THEN 1 ELSE 0 END AS opens FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+    p AS (SELECT *, sum(opens) OVER (PARTITION BY page ORDER BY k) AS part FROM o)
+    SELECT page, CAST(part AS BIGINT) AS part, count(*) AS n_lines, min(o_orderkey)::VARCHAR AS first_line FROM p GROUP BY page, part
+    """
+)
+def paragraph_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of pages in paragraphs, which a wide gap parts: a customer's orders, with one before each fifth number."""
+    o = table(spark, sf_dir, "orders")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    y = F.row_number().over(w) * 35.0 + F.sum(F.when(F.col("o_orderkey") % 5 == 0, 60.0).otherwise(0.0)).over(w)
+    lines = o.select(F.col("o_custkey").alias("page"), F.struct(y.alias("y0"), F.col("o_orderkey").cast("string").alias("text")).alias("x")).groupBy("page").agg(F.sort_array(F.collect_list("x")).alias("lines"))
+
+    def each(rows: list[dict]) -> list[dict]:
+        parts = paragraphs([Box(r["text"], 100.0, r["y0"], 400.0, r["y0"] + 30.0) for r in rows])
+        return [{"part": k, "n_lines": len(p), "first_line": p[0].text} for k, p in enumerate(parts)]
+
+    return mapped(lines, "page", "lines", "part bigint, n_lines bigint, first_line string", each)
 
 
 def tables_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:

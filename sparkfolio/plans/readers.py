@@ -12,9 +12,11 @@ from sparkfolio.sources.html_reader import html_note, links
 from sparkfolio.sources.notes import plain_of
 
 
-@query(r"""SELECT page_id, regexp_extract(html, '<html lang="([a-z]+)', 1) AS lang, length(html) AS n_chars FROM pages""")
-def html_title_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", '<html lang="([a-z]+)', 1).alias("lang"), F.length("html").cast("bigint").alias("n_chars"))
+@query(r"""SELECT page_id, nullif(regexp_extract(html, '<html lang="([a-z]+)', 1), '') AS language, nullif(trim(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')), '') AS title FROM pages""")
+def html_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title and language of pages, as their notes have them."""
+    each = lambda html: [{k: (html_note(html).meta.get(k) or None) for k in ("language", "title")}]
+    return mapped(table(spark, sf_dir, "pages"), "page_id", "html", "language string, title string", each)
 
 
 @query(r"""SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href FROM pages""")

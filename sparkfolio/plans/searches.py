@@ -103,11 +103,11 @@ NEAR = r"""
 
 
 @query(NEAR.format(""))
-def near_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+def search_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of a word with another one within 40 characters on either side."""
     return near(table(spark, sf_dir, "documents"), "license", ["work"], 40)
 
 
 @query(NEAR.format("NOT "))
-def not_near_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+def search_not_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near(table(spark, sf_dir, "documents"), "license", ["work"], 40, wanted=False)

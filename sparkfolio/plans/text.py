@@ -8,9 +8,11 @@ from pyspark.sql import Window
 
 from sparkfolio.functions import text as t
 from sparkfolio.model import lines_of_texts
-from sparkfolio.operators.sequences import budgeted, capped, hyphenated, islands
+from sparkfolio.operators.sequences import budgeted, capped, hyphenated, joined_text
+from sparkfolio.operators.terms import mapped
 from sparkfolio.plans.searches import LINES
 from sparkfolio.registry import query, table
+from sparkfolio.sources.text_readers import separator
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS text FROM documents")
@@ -57,9 +59,8 @@ def delimiter_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The separator that occurs most; the first of equals."""
     n = F.pmod("p_partkey", F.lit(3))
     line = F.concat("p_name", F.when(n == 0, ";;").when(n == 1, "||,").otherwise(",,"), "p_brand")
-    marks = [",", ";", "\t", "|"]
-    counts = F.array(*(F.struct((F.length(line) - F.length(F.replace(line, F.lit(m)))).alias("n"), F.lit(-k).alias("k"), F.lit(m).alias("m")) for k, m in enumerate(marks)))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_max(counts)["m"].alias("delimiter"))
+    lines = table(spark, sf_dir, "part").select("p_partkey", line.alias("line"))
+    return mapped(lines, "p_partkey", "line", "delimiter string", lambda x: [{"delimiter": separator(x)}])
 
 
 @query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 5")
@@ -86,20 +87,6 @@ def hyphen_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyphenated(table(spark, sf_dir, "documents"), "[a-z.,]$", "^[A-Za-z]")
 
 
-@query(
-    """
-    WITH l AS (SELECT user_id, event_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 60 MINUTE AS gap FROM events),
-    g AS (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS part FROM l)
-    SELECT user_id, CAST(part AS BIGINT) AS part, count(*) AS n, min(event_id) AS first_id FROM g GROUP BY user_id, part
-    """
-)
-def paragraph_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows in order, parted where the step to the next is wide: as lines become paragraphs."""
-    e = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
-    parts = islands(e, "user_id", ["at", "event_id"], F.col("at"), 3600 * 1_000_000)
-    return parts.groupBy("user_id", "part").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
-
-
 @query()
 def shard_crc32(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard 2 of 5 of the page addresses."""
@@ -111,27 +98,11 @@ def human_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", t.size_text(F.col("n_chars")).alias("size"), t.count_text(F.pmod("n_chars", F.lit(3)), "page").alias("pages"))
 
 
-@query(
-    """
-    WITH s AS (SELECT DISTINCT p_size AS size FROM part)
-    SELECT count(*) AS n_sizes, max(size) AS largest FROM s
-    """
-)
-def size_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").agg(F.countDistinct("p_size").alias("n_sizes"), F.max("p_size").alias("largest"))
-
-
-@query("SELECT p_brand, p_partkey, p_size FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) <= 3")
-def top_three(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three best of each group, ties by key: the limit is the feature."""
-    w = Window.partitionBy("p_brand").orderBy(F.desc("p_size"), "p_partkey")
-    return table(spark, sf_dir, "part").withColumn("r", F.row_number().over(w)).where("r <= 3").select("p_brand", "p_partkey", "p_size")
-
-
 @query("SELECT doc_id FROM documents WHERE regexp_matches(trim(string_split(text, chr(10))[1], ' '), '^[0-9]+$')")
 def figure_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose first line is a figure."""
     first = F.get(F.split("text", "\n"), F.lit(0))
-    return table(spark, sf_dir, "documents").where(F.trim(first).rlike("^[0-9]+$")).select("doc_id")
+    return table(spark, sf_dir, "documents").where(t.is_figure(F.trim(first))).select("doc_id")
 
 
 @query(rf"WITH {LINES} SELECT doc_id, max(length(text)) AS longest FROM lines GROUP BY doc_id")

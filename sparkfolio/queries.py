@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from sparkfolio.plans import analysis, exports, findings, layouts, readers, searches, store, text  # noqa: F401
+from sparkfolio.plans import analysis, exports, findings, layouts, paging, readers, reports, searches, store, text  # noqa: F401
 from sparkfolio.plans.searches import flagship  # noqa: F401
 from sparkfolio.registry import ORACLES, QUERIES, Query, query, table  # noqa: F401

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import io
+import math
 import posixpath
 import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
-from datetime import datetime, timedelta
+from datetime import date, timedelta
 
 from sparkfolio.sources.html_reader import html_note
 from sparkfolio.sources.notes import Block, Note, Unreadable, clean, escape
@@ -301,22 +302,38 @@ def mathml_tex(text: str) -> str:
 # spreadsheets
 
 
+#: Days of a spreadsheet that have a date: up to the year 9999.
+LAST_DAY = 2_958_465
+
+
 def excel_date(serial: float, base_1904: bool = False) -> str:
-    """A day number as a date, or a date and time, to the second; a time below 1."""
-    seconds = int(serial * 86400 + 0.5)
-    if serial < 1 and not base_1904:
-        return str(timedelta(seconds=seconds)).rjust(8, "0")
-    start = datetime(1904, 1, 1) if base_1904 else datetime(1899, 12, 30) + timedelta(days=serial < 60)
-    when = start + timedelta(seconds=seconds)
-    return when.strftime("%Y-%m-%d" if not seconds % 86400 else "%Y-%m-%d %H:%M:%S")
+    """A day number as a date, or a date and time, to the second; a time below 1. Numbers that are no date stay numbers.
+
+    Spreadsheets count a 29th of February 1900, number 60, which is shown as the day after it.
+    """
+    if not 0 <= serial <= LAST_DAY:
+        return number_text(repr(serial))
+    days, seconds = divmod(int(serial * 86400 + 0.5), 86400)
+    clock = f"{seconds // 3600:02}:{seconds // 60 % 60:02}:{seconds % 60:02}"
+    if serial < 1:
+        return clock
+    try:
+        day = date(1904, 1, 1) + timedelta(days=days) if base_1904 else date(1899, 12, 31) + timedelta(days=days - (days > 60))
+    except OverflowError:  # beyond the year 9999, by the later count
+        return number_text(repr(serial))
+    return f"{day.isoformat()} {clock}" if seconds else day.isoformat()
 
 
 def number_text(text: str) -> str:
+    """A number as it is shown: whole ones without a point, others to 15 figures; what is no finite number stays as it is."""
     try:
-        x = float(text)
+        value = float(text)
     except ValueError:
         return text
-    return str(int(x)) if x == int(x) and abs(x) <= 1 << 53 else f"{x:.15g}"
+    if not math.isfinite(value):
+        return text
+    whole = value.is_integer() and abs(value) <= 2**53
+    return str(int(value)) if whole else format(value, ".15g")
 
 
 def cell_place(name: str) -> tuple[int, int]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 import json
@@ -20,30 +21,36 @@ CODE = {
 BULLET = re.compile(r"^(\s*)([-*•‣◦▪–+o]|\d{1,3}[.)]|[a-zA-Z][.)]|\([0-9a-zA-Z]{1,3}\))\s+(?=\S)(.*)$")
 
 
+#: Byte order marks and what is encoded behind them; those of four bytes are looked for first.
+MARKS = {codecs.BOM_UTF32_LE: "utf-32-le", codecs.BOM_UTF32_BE: "utf-32-be", codecs.BOM_UTF8: "utf-8", codecs.BOM_UTF16_LE: "utf-16-le", codecs.BOM_UTF16_BE: "utf-16-be"}
+#: Bytes by whose zeros UTF-16 is told.
+SAMPLE = 4000
+
+
+def one_byte(error: UnicodeError) -> tuple[str, int]:
+    """A byte that begins no UTF-8 as Windows 1252 has it; decoding goes on behind it."""
+    if not isinstance(error, UnicodeDecodeError):
+        raise error
+    return error.object[error.start : error.start + 1].decode("cp1252", "replace"), error.start + 1
+
+
+codecs.register_error("one byte of windows 1252", one_byte)
+
+
+def unmarked_codec(data: bytes) -> str:
+    """UTF-16 where the bytes on one side of each pair are mostly zero and those on the other hardly ever; else UTF-8."""
+    pairs = len(data[:SAMPLE]) // 2
+    first, second = (data[k:SAMPLE:2].count(0) for k in (0, 1))
+    if pairs > 1 and max(first, second) > 0.6 * pairs and min(first, second) < 0.1 * pairs:
+        return "utf-16-be" if first > second else "utf-16-le"
+    return "utf-8"
+
+
 def decode(data: bytes) -> str:
-    """By byte order mark, as UTF-16 where every other byte is zero, as UTF-8, and what isn't as Windows 1252."""
-    for mark, codec in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe\0\0", "utf-32-le"), (b"\0\0\xfe\xff", "utf-32-be"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
-        if data.startswith(mark):
-            return data[len(mark) :].decode(codec, "replace").replace("\r\n", "\n").replace("\r", "\n")
-    head = data[:4000]
-    if len(head) > 3:
-        odd, even = head[1::2].count(0), head[::2].count(0)
-        for zeros, others, codec in ((odd, even, "utf-16-le"), (even, odd, "utf-16-be")):
-            if zeros > 0.6 * (len(head) // 2) and others < 0.1 * (len(head) // 2):
-                return data.decode(codec, "replace").replace("\r\n", "\n").replace("\r", "\n")
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        out, at = [], 0
-        while at < len(data):
-            try:
-                out.append(data[at:].decode("utf-8"))
-                break
-            except UnicodeDecodeError as e:
-                out.append(data[at : at + e.start].decode("utf-8"))
-                out.append(data[at + e.start : at + e.start + 1].decode("cp1252", "replace"))
-                at += e.start + 1
-        text = "".join(out)
+    """By byte order mark, as UTF-16 where every other byte is zero, as UTF-8, and what isn't as Windows 1252; in one pass."""
+    mark = next((m for m in MARKS if data.startswith(m)), b"")
+    codec = MARKS[mark] if mark else unmarked_codec(data)
+    text = data[len(mark) :].decode(codec, "replace" if mark or codec != "utf-8" else "one byte of windows 1252")
     return text.replace("\r\n", "\n").replace("\r", "\n")
 
 
@@ -119,12 +126,17 @@ def md(data: bytes) -> Note:
     return Note(meta=meta, body=text.strip("\n"))
 
 
+def separator(head: str) -> str:
+    """Of comma, semicolon, tab and bar the one that occurs most, the first of equals."""
+    return max(",;\t|", key=head.count)
+
+
 def delimited(data: bytes, delimiter: str | None = None, max_rows: int = 5000) -> Note:
     """A table; of more than max_rows rows the rest is counted."""
     text = decode(data)
     if delimiter is None:
         head = "\n".join(text.split("\n")[:20])
-        delimiter = max(",;\t|", key=lambda d: (head.count(d), -",;\t|".index(d)))
+        delimiter = separator(head)
     rows = [r for r in csv.reader(io.StringIO(text), delimiter=delimiter) if any(c.strip() for c in r)]
     if not rows:
         return Note(meta={"rows": 0})

@@ -41,6 +41,15 @@ def test_text_is_decoded_and_parted():
     assert read_note(b"", "x.txt").blocks == []
 
 
+def test_bytes_that_are_no_utf8_are_decoded_in_one_pass():
+    import time
+
+    began = time.time()
+    assert text_readers.decode(b"a\xe9\r\n" * 300_000) == "a\xe9\n" * 300_000 and time.time() - began < 10
+    assert text_readers.decode("é".encode() + b"\xff\x81") == "éÿ\ufffd"
+    assert text_readers.decode("né".encode("utf-16")) == "né" and text_readers.decode("abc def".encode("utf-16-be")) == "abc def" and text_readers.decode(b"\xff\xfe\0\0" + "x".encode("utf-32-le")) == "x"
+
+
 def test_markdown_tables_code_and_subtitles():
     n = read_note(b"---\ntitle: \"T\"\nx: 1\n---\n# H\n\nbody *x*\n", "a.md")
     assert n.meta == {"title": "T", "x": "1"} and n.body == "# H\n\nbody *x*"
@@ -91,8 +100,10 @@ def test_spreadsheet_and_dates():
     n = read_note(data, "a.xlsx")
     assert [(b.kind, b.text or b.rows) for b in n.blocks] == [("heading", "One"), ("table", [["name", "2"], ["2023-03-15", "25 %"]]), ("table", [["TRUE"]])]
     assert n.meta == {"sheets": 1, "rows": 3}
-    assert package_readers.excel_date(60.5) == "1900-02-28 12:00:00" or package_readers.excel_date(61) == "1900-03-01"
-    assert package_readers.excel_date(1) == "1900-01-01" and package_readers.excel_date(0, True) == "1904-01-01"
+    days = {1: "1900-01-01", 59: "1900-02-28", 60: "1900-03-01", 60.5: "1900-03-01 12:00:00", 61: "1900-03-01", 61.99999999: "1900-03-02", 0.5: "12:00:00", 2958465: "9999-12-31", 2958466: "2958466", -5: "-5", 1e300: "1e+300"}
+    assert {k: package_readers.excel_date(k) for k in days} == days
+    assert (package_readers.excel_date(1, True), package_readers.excel_date(0, True)) == ("1904-01-02", "00:00:00")
+    assert [package_readers.number_text(x) for x in ("inf", "nan", "1e3", "x", "-0.50")] == ["inf", "nan", "1000", "x", "-0.5"]
     assert package_readers.cell_place("$AB$10") == (9, 27) and package_readers.number_text("0.1000") == "0.1"
 
 
