@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkfolio.functions.text import is_unspaced, page_ranges
 from sparkfolio.operators import metrics, quality
-from sparkfolio.operators.language import SHORT_WORDS, coverage, language
+from sparkfolio.operators.language import LETTERS, SHORT_WORDS, coverage, language
 from sparkfolio.registry import query, table
 
 
@@ -75,7 +75,17 @@ def language_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.confusion(found, "lang", "detected", values).withColumnsRenamed({x: f"n_{x}" for x in values})
 
 
-@query()
+_LETTERS = ", ".join(f"('{k}', '{''.join(sorted(set('abcdefghijklmnopqrstuvwxyz' + v)))}')" for k, v in LETTERS.items())
+
+
+@query(
+    f"""
+    WITH n(lang, letters) AS (VALUES {_LETTERS}),
+    c AS (SELECT coalesce(source, '') AS name, list_distinct(flatten(list(string_split(lower(text), '')))) AS own FROM documents WHERE text IS NOT NULL GROUP BY 1),
+    m AS (SELECT name, lang, length(letters) AS n, list_filter(string_split(letters, ''), lambda x: NOT list_contains(own, x)) AS missing FROM c, n)
+    SELECT name, lang, array_to_string(missing, '') AS missing, 1 - len(missing) / n AS ratio FROM m
+    """
+)
 def charset_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the characters of each source cover the languages."""
     docs = table(spark, sf_dir, "documents").where("text is not null")

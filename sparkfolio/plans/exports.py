@@ -32,35 +32,60 @@ def markdown_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export(documents(spark, sf_dir), "markdown")
 
 
-@query(
-    rf"""
-    WITH {LINES}, r AS (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
-    k AS (SELECT *, trim(text, ' ') <> '' AS full_, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS o FROM r),
+#: Lines of documents with their number in the text, block and place in it, and the size of their page.
+LAID = r"""
+    r AS (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS pos, greatest(2338, 600 + len(l) * 40) AS height FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+    k AS (SELECT *, trim(text, ' ') <> '' AS full_ FROM r),
     b AS (SELECT *, CASE WHEN full_ AND NOT coalesce(lag(full_) OVER (PARTITION BY doc_id ORDER BY pos), false) THEN 1 ELSE 0 END AS opens FROM k),
     c AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS block FROM b),
-    l AS (SELECT *, row_number() OVER (PARTITION BY doc_id, block ORDER BY pos) - 1 AS line FROM c WHERE full_),
-    t AS (SELECT doc_id, printf('1,%d,%d,%.1f,%.1f,%.1f,%.1f,%.4f,', block, line, 100.0, 300.0 + pos * 40, 100.0 + length(text) * 12, 330.0 + pos * 40, 0.98)
-                 || CASE WHEN regexp_matches(text, '[",\n\r]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS row_, pos FROM l)
-    SELECT documents.doc_id::VARCHAR AS source, 'page,block,line,x0,y0,x1,y1,confidence,text' || coalesce(chr(10) || string_agg(row_, chr(10) ORDER BY pos), '') AS content FROM documents LEFT JOIN t ON documents.doc_id = t.doc_id GROUP BY documents.doc_id
+    l AS (SELECT *, row_number() OVER (PARTITION BY doc_id, block ORDER BY pos) - 1 AS line, 300 + pos * 40 AS y, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS xml FROM c WHERE full_),
+    d AS (SELECT doc_id, max(height) AS height FROM r GROUP BY doc_id)
+"""
+AREA = "printf('bbox 100 %d %d %d', min(y), CAST(100 + 12 * max(length(text)) AS INT), CAST(max(y) + 30 AS INT))"
+PLACE = "printf('bbox 100 %d %d %d', y, CAST(100 + 12 * length(text) AS INT), CAST(y + 30 AS INT))"
+SPAN = """printf('HPOS="100" VPOS="%d" WIDTH="%d" HEIGHT="30"', y, CAST(12 * length(text) AS INT))"""
+
+
+@query(
+    rf"""
+    WITH {LAID}, t AS (SELECT doc_id, pos, printf('1,%d,%d,%.1f,%.1f,%.1f,%.1f,%.4f,', block, line, 100.0, 300.0 + pos * 40, 100.0 + length(text) * 12, 330.0 + pos * 40, 0.98)
+                 || CASE WHEN regexp_matches(text, '[",\n\r]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS row_ FROM l)
+    SELECT d.doc_id::VARCHAR AS source, 'page,block,line,x0,y0,x1,y1,confidence,text' || coalesce(chr(10) || string_agg(row_, chr(10) ORDER BY pos), '') AS content FROM d LEFT JOIN t ON d.doc_id = t.doc_id GROUP BY d.doc_id
     """
 )
 def lines_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export(documents(spark, sf_dir), "csv")
 
 
-@query()
+@query(f"{TEXT} SELECT doc_id::VARCHAR AS source, sha256(coalesce(t, '')) AS sha256 FROM e")
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as JSON and back: the same text."""
     back = export(documents(spark, sf_dir), "json").select(F.from_json("content", document_type()).alias("d")).select("d.*")
     return export(back, "text").select("source", F.sha2("content", 256).alias("sha256"))
 
 
-@query()
+@query(
+    f"""
+    WITH {LAID}, n AS (SELECT *, '<span class=''ocr_line'' title=''' || {PLACE} || '''><span class=''ocrx_word'' title=''' || {PLACE} || '; x_wconf 98''>' || xml || '</span></span>' AS html FROM l),
+    a AS (SELECT doc_id, block, '<div class=''ocr_carea'' title=''' || {AREA} || '''><p class=''ocr_par'' title=''' || {AREA} || '''>' || chr(10) || string_agg(html, chr(10) ORDER BY pos) || chr(10) || '</p></div>' AS html FROM n GROUP BY doc_id, block)
+    SELECT d.doc_id::VARCHAR AS source, '<!DOCTYPE html>' || chr(10) || '<html><head><meta charset=''utf-8''/><meta name=''ocr-capabilities'' content=''ocr_page ocr_carea ocr_par ocr_line ocrx_word''/><title>' || d.doc_id || '</title></head><body>' || chr(10)
+           || '<div class=''ocr_page'' id=''page_1'' title=''bbox 0 0 1654 ' || any_value(height) || '''>' || chr(10) || coalesce(string_agg(html, chr(10) ORDER BY block), '') || chr(10) || '</div>' || chr(10) || '</body></html>' || chr(10) AS content
+    FROM d LEFT JOIN a ON d.doc_id = a.doc_id GROUP BY d.doc_id
+    """
+)
 def hocr_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export(documents(spark, sf_dir), "hocr")
 
 
-@query()
+@query(
+    f"""
+    WITH {LAID}, n AS (SELECT *, '<TextLine ' || {SPAN} || '><String ' || {SPAN} || ' WC="0.9800" CONTENT="' || xml || '"/></TextLine>' AS html FROM l),
+    a AS (SELECT doc_id, block, printf('<TextBlock HPOS="100" VPOS="%d" WIDTH="%d" HEIGHT="%d">', min(y), CAST(12 * max(length(text)) AS INT), CAST(max(y) - min(y) + 30 AS INT)) || string_agg(html, '' ORDER BY pos) || '</TextBlock>' AS html FROM n GROUP BY doc_id, block)
+    SELECT d.doc_id::VARCHAR AS source, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<alto xmlns="http://www.loc.gov/standards/alto/ns-v4#"><Description><MeasurementUnit>pixel</MeasurementUnit><sourceImageInformation><fileName>' || d.doc_id
+           || '</fileName></sourceImageInformation></Description><Layout><Page ID="p1" PHYSICAL_IMG_NR="1" WIDTH="1654" HEIGHT="' || any_value(height) || '"><PrintSpace>' || coalesce(string_agg(html, '' ORDER BY block), '') || '</PrintSpace></Page></Layout></alto>' || chr(10) AS content
+    FROM d LEFT JOIN a ON d.doc_id = a.doc_id GROUP BY d.doc_id
+    """
+)
 def alto_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export(documents(spark, sf_dir), "alto")
 

@@ -54,3 +54,31 @@ def markings_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in documents and in literal texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(MARKED, "doc_id bigint, text string"))
     return inspect_texts(docs).select("doc_id", "kind", "scheme", "level", "label", "match", "page", "reason", "fuzzy")
+
+
+#: Literal texts, and what is found in them: (text, term, match, how).
+CASES = (
+    (1, "The public license applies.", "license", "license", "exact"), (2, "A pub1ic licence", "license", "licence", "exact"), (3, "l i c e n s e", "license", "l i c e n s e", "spaced"), (4, "the li-\ncense of it", "license", "li\ncense", "hyphenated"),
+    (5, "liccnse", "license", "liccnse", "fuzzy"), (6, "call 555-1234 now", "phone", "555-1234", "regex"), (7, "terms\nof use of this content", "terms of use", "terms\nof use", "split"), (8, "terms of use", None, None, None), (9, "licensee", "license", "licensee", "fuzzy"), (10, "licentiate", None, None, None),
+)
+_EXPECTED = ", ".join(f"({k}, '{term}', '{match}', '{how}')" for k, _, term, match, how in CASES if term).replace("\n", "' || chr(10) || '")
+
+
+@query(f"SELECT * FROM (VALUES {_EXPECTED}) AS t(doc_id, term, match, how)")
+def term_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits in literal texts that are spelled, spaced and broken in different ways."""
+    docs = spark.createDataFrame([(k, text) for k, text, *_ in CASES], "doc_id bigint, text string")
+    return find_in_texts(docs, parse(PROFILE)).select("doc_id", "term", F.col("text").alias("match"), F.array_join("how", ",").alias("how"))
+
+
+@query(
+    """
+    SELECT * FROM (VALUES (1, 'marking', 'VS-NfD', 1, 'standalone'), (2, 'mention', 'NATO SECRET', 3, 'compound word'), (4, 'marking', 'NATO RESTRICTED', 1, 'standalone'), (4, 'marking', 'SECRET', 3, 'standalone'), (5, 'mention', 'VS-NfD', 1, 'negated'),
+                   (6, 'marking', 'AT VERTRAULICH', 2, 'standalone'), (7, 'marking', 'TLP:AMBER', 0, 'standalone')) AS t(doc_id, kind, label, level, reason)
+    """
+)
+def marking_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in literal texts."""
+    texts = ("VS-NfD\n\nAn die Leitung", "Die NATO-SECRET-Freigabe fehlt noch.", "Ohne alles.", "NATO RESTRICTED\n\nSECRET", "Das ist nicht VS-NfD.", "VERTRAULICH\n\nRepublik Österreich", "TLP:AMBER")
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id bigint, text string")
+    return inspect_texts(docs).select("doc_id", "kind", "label", "level", "reason")

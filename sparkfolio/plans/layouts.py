@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from sparkfolio.functions.geometry import bounds, box, iou
+from sparkfolio.functions.geometry import bounds, box, horizontal_overlap, iou, quarter_turned, vertical_overlap
 from sparkfolio.operators import tables
 from sparkfolio.operators.layout import Box, blocks_of_pages, paragraphs
 from sparkfolio.operators.terms import mapped
@@ -153,3 +153,24 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = blocks_of_pages(pages)
     by = blocks.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("block_ord", "text"))).alias("b"))
     return by.select("page", F.regexp_replace(F.array_join(F.transform("b", lambda b: b["text"]), " "), "\n", " ").alias("words"))
+
+
+@query(
+    f"""
+    WITH {BOXES}, p AS (SELECT a.id AS a, b.id AS b, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) / least(a.x1 - a.x0, b.x1 - b.x0) AS across, greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) / least(a.y1 - a.y0, b.y1 - b.y0) AS down FROM b a JOIN b ON b.id = a.id + 1)
+    SELECT a, b, round(across, 8) AS across, round(down, 8) AS down FROM p
+    """
+)
+def neighbour_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each box and the next one share their width and height."""
+    b = boxes(spark, sf_dir)
+    side = lambda c, k: b.select((F.col("id") - k).alias("k"), *(F.col(x).alias(f"{c}_{x}") for x in ("id", "x0", "y0", "x1", "y1")))
+    pairs = side("a", 0).join(side("b", 1), "k")
+    return pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(horizontal_overlap(box("a_"), box("b_")), 8).alias("across"), F.round(vertical_overlap(box("a_"), box("b_")), 8).alias("down"))
+
+
+@query(f"WITH {BOXES} SELECT id, CASE id % 4 WHEN 0 THEN x0 WHEN 1 THEN y0 WHEN 2 THEN 1000 - x0 ELSE 1000 - y0 END AS x, CASE id % 4 WHEN 0 THEN y0 WHEN 1 THEN 1400 - x0 WHEN 2 THEN 1400 - y0 ELSE x0 END AS y FROM b")
+def turned_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of boxes on pages that were turned by quarters."""
+    p = quarter_turned(F.col("x0"), F.col("y0"), F.lit(1000.0), F.lit(1400.0), (F.col("id") % 4).cast("int"))
+    return boxes(spark, sf_dir).select("id", p.alias("p")).select("id", "p.x", "p.y")

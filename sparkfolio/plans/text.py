@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from sparkfolio.functions import text as t
-from sparkfolio.model import lines_of_texts
+from sparkfolio.model import blocks_of_text, lines_of_texts
 from sparkfolio.operators.sequences import budgeted, capped, hyphenated, joined_text
 from sparkfolio.operators.terms import mapped
 from sparkfolio.plans.searches import LINES
@@ -87,7 +87,13 @@ def hyphen_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyphenated(table(spark, sf_dir, "documents"), "[a-z.,]$", "^[A-Za-z]")
 
 
-@query()
+@query(
+    """
+    WITH t AS (SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc FROM (SELECT unnest(range(256)) AS i)),
+    b AS (SELECT page_id, url, list_prepend(4294967295::BIGINT, list_transform(range(1, length(url) + 1), lambda i: unicode(substring(url, i, 1))::BIGINT)) AS bytes FROM pages WHERE url IS NOT NULL)
+    SELECT page_id, url FROM b, t WHERE xor(list_reduce(bytes, lambda c, b: xor(c >> 8, crc[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295) % 5 = 1
+    """
+)
 def shard_crc32(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard 2 of 5 of the page addresses."""
     return table(spark, sf_dir, "pages").where(t.shard(F.col("url"), 2, 5)).select("page_id", "url")
@@ -109,3 +115,24 @@ def figure_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def longest_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lines_of_texts(table(spark, sf_dir, "documents"), "doc_id")
     return lines.groupBy("doc_id").agg(F.max(F.length("text")).cast("bigint").alias("longest"))
+
+
+@query(
+    """
+    SELECT l_orderkey, l_linenumber, printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) AS duration, CASE WHEN ms < 1000 THEN ms || ' ms' WHEN ms < 60000 THEN printf('%.1f s', ms / 1000) ELSE printf('%d min %d s', ms // 60000, ms % 60000 // 1000) END AS shown
+    FROM (SELECT *, CAST(floor(l_discount * 30 * 86400 + 0.5) AS BIGINT) AS s, CAST(l_partkey * 100 AS BIGINT) AS ms FROM lineitem)
+    """
+)
+def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of days as hours and minutes, milliseconds for people."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", t.duration(F.col("l_discount") * 30).alias("duration"), t.duration_text((F.col("l_partkey") * 100).cast("bigint")).alias("shown"))
+
+
+@query(rf"WITH {LINES}, b AS (SELECT doc_id, block_ord, list(text ORDER BY line_ord) AS l FROM lines GROUP BY ALL) SELECT doc_id, CAST(block_ord AS INT) AS block_ord, array_to_string(l, ' ') AS text FROM b WHERE NOT list_has_any(list_transform(l, lambda x: right(x, 1)), ['-', chr(173)])")
+def joined_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks without parted words as one text each."""
+    blocks = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(blocks_of_text()).alias("block_ord", "block"))
+    lines = F.filter(F.split("block", "\n"), lambda x: F.trim(x) != "")
+    made = blocks.select("doc_id", "block_ord", lines.alias("l")).where(F.size("l") > 0)
+    return made.where(~F.exists("l", lambda x: x.rlike("[-\u00ad]$"))).select("doc_id", "block_ord", joined_text(F.col("l")).alias("text"))
