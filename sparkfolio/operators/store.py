@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from contextlib import suppress
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -69,20 +70,31 @@ def sync(spark: SparkSession, source: str, out: str, prune: bool = False, force:
     """Bring the notes in out up to date with the files below source; key and action of each file.
 
     source and out are folders that driver and executors share. A note is written under a name of its own and
-    renamed, so that a lost task leaves none half written; the manifest's next version is written last.
+    renamed, so that a lost task leaves none half written; the manifest's next version is written last. Files
+    of the size and time that the manifest has aren't read.
     """
     os.makedirs(out, exist_ok=True)
     folder = f"{out}/.manifest"
     done = versions(folder)
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/{done[-1]}") if done else spark.createDataFrame([], MANIFEST)
     root = F.regexp_replace("path", "^file:", "")
-    found = files(spark, source).select(root.alias("key"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha"), "content")
+    listed = files(spark, source).select(root.alias("key"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"))
+    # only files whose size or time has changed are read, to be hashed
+    before = manifest.select("key", F.col("size").alias("old_size"), F.col("mtime").alias("old_mtime"), F.col("sha").alias("old_sha"))
+    marked = listed.join(before, "key", "left").withColumn("same", F.coalesce((F.col("size") == F.col("old_size")) & (F.col("mtime") == F.col("old_mtime")), F.lit(False)))
+    marked.write.mode("overwrite").parquet(f"{folder}/listed")
+    marked = spark.read.schema(marked.schema).parquet(f"{folder}/listed")
+    contents = files(spark, source).select(root.alias("key"), "content")
+    changed = contents.join(marked.where("not same").select("key", "size", "mtime"), "key")
+    changed.select("key", "size", "mtime", F.sha2("content", 256).alias("sha")).write.mode("overwrite").parquet(f"{folder}/hashed")
+    kinds = "key string, size bigint, mtime bigint, sha string"
+    found = marked.where("same").select("key", "size", "mtime", F.col("old_sha").alias("sha")).unionByName(spark.read.schema(kinds).parquet(f"{folder}/hashed"))
     have = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(out).select(F.regexp_replace("path", "^file:", "").alias("note"), F.sha2("content", 256).alias("sha"))
     known = edited(have, manifest) if done else manifest.withColumn("edited", F.lit(False))
     if force:
         known = known.withColumn("edited", F.lit(False))
-    plan = actions(found.select("key", "size", "mtime", "sha"), known)
-    wanted = found.join(plan.where("action = 'write'").select("key"), "key")
+    plan = actions(found, known)
+    wanted = contents.join(plan.where("action = 'write'").select("key"), "key")
     name = F.regexp_replace(F.regexp_replace("key", r"^.*/", ""), r"\.[A-Za-z0-9]+$", "")
     below = F.regexp_replace(F.substring(F.regexp_replace("key", r"[^/]*$", ""), len(os.path.abspath(source)) + 2, 1 << 20), "/$", "")
     # files that differ in suffix alone share a name: the first keeps it, the others carry their suffix
@@ -111,14 +123,22 @@ def sync(spark: SparkSession, source: str, out: str, prune: bool = False, force:
     kept = plan.where("action in ('unchanged', 'touch', 'keep')").where("old_sha is not null")
     old = kept.select("key", F.coalesce("size", "old_size").alias("size"), F.coalesce("mtime", "old_mtime").alias("mtime"), F.when(F.col("action") == "keep", F.col("old_sha")).otherwise(F.coalesce("sha", "old_sha")).alias("sha"), "note", "note_sha", "error")
     new = result.join(found.select("key", "size", "mtime", "sha"), "key").select("key", "size", "mtime", "sha", "note", F.when(F.col("status") == "ok", F.col("note_sha")).alias("note_sha"), "error")
-    gone = plan.where("action = 'prune'").select("key", "note").collect() if prune else []  # one row for each deleted note
     if not prune:
         old = old.unionByName(plan.where("action = 'prune'").select("key", F.col("old_size").alias("size"), F.col("old_mtime").alias("mtime"), F.col("old_sha").alias("sha"), "note", "note_sha", "error"))
     told = plan.select("key", F.when((F.col("action") == "prune") & F.lit(not prune), "vanished").otherwise(F.col("action")).alias("action"))
     report = f"{folder}/report-{len(done) + 1:06d}"
     told.write.mode("overwrite").parquet(report)
     old.unionByName(new).write.mode("overwrite").parquet(f"{folder}/v{len(done) + 1:06d}")
-    for row in gone:
-        if row["note"] and os.path.exists(row["note"]):
-            os.remove(row["note"])
+    if prune:
+
+        def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for note in b["note"].dropna():
+                    with suppress(FileNotFoundError):  # a task that runs again
+                        os.remove(note)
+                yield b
+
+        # by the manifest's last version, which this run leaves as it is
+        pruned = manifest.join(spark.read.parquet(report).where("action = 'prune'"), "key").select("note")
+        pruned.mapInPandas(remove, "note string").write.format("noop").mode("overwrite").save()
     return spark.read.parquet(report)

@@ -100,7 +100,8 @@ def files(spark: SparkSession, paths: str | list[str], suffixes: tuple[str, ...]
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     name = F.element_at(F.split("path", "/"), -1)
     shown = ~F.startswith(name, F.lit(".")) & ~F.startswith(name, F.lit("~$")) & ~F.contains("path", F.lit("/__MACOSX/"))
-    return found.where(shown & F.substring(suffix(F.col("path")), 2, 20).isin(*suffixes)).dropDuplicates(["path"])
+    kept = found.where(shown & F.substring(suffix(F.col("path")), 2, 20).isin(*suffixes))
+    return kept if isinstance(paths, str) or len(paths) < 2 else kept.dropDuplicates(["path"])  # paths may overlap
 
 
 def container(content: Column | str = "content") -> Column:
