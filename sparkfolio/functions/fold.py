@@ -33,9 +33,12 @@ def letters(ch: str) -> tuple[tuple[str, bool], ...]:
 
 def fold_text(text: str) -> tuple[str, list[int]]:
     """The folded text, and the index in text of each of its characters."""
+    made = {c: folded(c) for c in set(text)}
+    if all(len(f) == 1 for f in made.values()):  # one for one
+        return text.translate(str.maketrans(made)), list(range(len(text)))
     out, origin = [], []
     for k, ch in enumerate(text):
-        f = folded(ch)
+        f = made[ch]
         out.append(f)
         origin += [k] * len(f)
     return "".join(out), origin

@@ -11,8 +11,9 @@ from __future__ import annotations
 import json
 import re
 import tomllib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, fields
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -199,34 +200,61 @@ def spaced_out(text: str) -> set[int]:
     return out
 
 
+class Folds(dict):
+    """What letters() makes of a character, kept for str.translate() and for loops."""
+
+    def __init__(self, made: Callable[[str], object]) -> None:
+        self.made = made
+
+    def __missing__(self, ch: int) -> object:
+        out = self[ch] = self.made(chr(ch))
+        return out
+
+
+#: By code points: letters with marks of spelling; the letters alone; those without what spells an umlaut.
+PAIRS, PLAIN, HARD = Folds(letters), Folds(lambda c: "".join(x for x, _ in letters(c))), Folds(lambda c: "".join(x for x, soft in letters(c) if not soft))
+LOOKS = str.maketrans(CLASS)
+READ_AS = {two: one for one, two in JOINED.items()}
+READ_AS_ONE = re.compile("|".join(READ_AS))
+
+
 def stream_of(lines: list[Line]) -> Stream:
-    s, out = Stream(), []
+    text: list[str] = []
+    gaps, numbers, places, softs = [], [], [], []
     block = None
     for n, line in enumerate(lines):
-        spaced = spaced_out(line.text)
+        own = line.text
+        spaced = spaced_out(own)
         gap = NONE if block is None else BLOCK if line.block != block else LINE
-        if gap == LINE and s.line and re.search(r"\w[-­‐]\s*$", lines[n - 1].text):
+        if gap == LINE and numbers and re.search(r"\w[-­‐]\s*$", lines[n - 1].text):
             gap = HYPHEN
         block, blanks = line.block, 0
-        for k, ch in enumerate(line.text):
-            got = letters(ch)
-            if not got:
-                if ch.isspace():
-                    blanks += 1
-                    gap = max(gap, SPACED if k + 1 < len(line.text) and blanks == 1 and spaced and (k - 1 in spaced and k + 1 in spaced) else SPACE)
-                elif ch not in "­​‌‍⁠":
-                    gap = max(gap, PUNCT)
-                continue
-            blanks = 0
-            for j, (c, soft) in enumerate(got):
-                out.append(c)
-                s.gap.append(gap if j == 0 else NONE)
-                s.line.append(n)
-                s.at.append(k)
-                s.soft.append(soft)
-            gap = NONE
-    s.text = "".join(out)
-    return s
+        for k, ch in enumerate(own):
+            got = PAIRS[ord(ch)]
+            if len(got) == 1:
+                (c, soft), blanks = got[0], 0
+                text.append(c)
+                gaps.append(gap)
+                softs.append(soft)
+                numbers.append(n)
+                places.append(k)
+                gap = NONE
+            elif got:
+                blanks = 0
+                for c, soft in got:
+                    text.append(c)
+                    gaps.append(gap)
+                    softs.append(soft)
+                    numbers.append(n)
+                    places.append(k)
+                    gap = NONE
+            elif ch.isspace():
+                blanks += 1
+                between = blanks == 1 and k - 1 in spaced and k + 1 in spaced
+                gap = max(gap, SPACED if between else SPACE)
+            elif ch not in "­​‌‍⁠":
+                gap = max(gap, PUNCT)
+    return Stream("".join(text), gaps, numbers, places, softs)
 
 
 def cost_of(a: str, b: str) -> int:
@@ -239,19 +267,13 @@ def cost_of(a: str, b: str) -> int:
 
 def canonical(text: str) -> tuple[str, list[int]]:
     """Look-alikes as one, pairs that are read as one letter as that letter, and where each came from."""
-    out, origin, k = [], [], 0
-    while k < len(text):
-        for one, two in JOINED.items():
-            if text.startswith(two, k):
-                out.append(CLASS.get(one, one))
-                origin.append(k)
-                k += 2
-                break
-        else:
-            out.append(CLASS.get(text[k], text[k]))
-            origin.append(k)
-            k += 1
-    return "".join(out), origin
+    out, origin, done = [], [], 0
+    for m in READ_AS_ONE.finditer(text):
+        out += [text[done : m.start()], READ_AS[m[0]]]
+        origin += range(done, m.start() + 1)
+        done = m.end()
+    origin += range(done, len(text))
+    return ("".join(out) + text[done:]).translate(LOOKS), origin
 
 
 @dataclass(frozen=True)
@@ -297,10 +319,10 @@ def windows(stream: Stream, canon: tuple[str, list[int]], phrase: Phrase, k: int
     own = canonical(phrase.letters)[0]
     m, pad = len(phrase.letters), k + 4
     out: list[tuple[int, int]] = []
-    views = [(canon[0], canon[1], own), ("".join(CLASS.get(c, c) for c in stream.text), range(len(stream.text)), "".join(CLASS.get(c, c) for c in phrase.letters))]
+    views = [(canon[0], canon[1], own), (stream.text.translate(LOOKS), range(len(stream.text)), phrase.letters.translate(LOOKS))]
     hard = "".join(c for c, s in zip(phrase.letters, phrase.soft, strict=True) if not s)
     if hard != phrase.letters:  # umlauts written without their dots
-        views.append((views[1][0], views[1][1], "".join(CLASS.get(c, c) for c in hard)))
+        views.append((views[1][0], views[1][1], hard.translate(LOOKS)))
     for text, origin, pattern in views:
         n = len(pattern)
         cuts = [j * n // (k + 1) for j in range(k + 2)]
@@ -312,7 +334,7 @@ def windows(stream: Stream, canon: tuple[str, list[int]], phrase: Phrase, k: int
                 at = text.find(piece, at + 1)
     if any(stream.soft):  # text that spells an umlaut the phrase doesn't
         bare = [j for j, s in enumerate(stream.soft) if not s]
-        text, pattern, at = "".join(CLASS.get(stream.text[j], stream.text[j]) for j in bare), "".join(CLASS.get(c, c) for c in phrase.letters), 0
+        text, pattern, at = "".join(stream.text[j] for j in bare).translate(LOOKS), phrase.letters.translate(LOOKS), 0
         while (at := text.find(pattern, at)) >= 0:
             out.append((max(0, bare[at] - pad), min(len(stream.text), bare[at] + 2 * m + pad)))
             at += 1
@@ -404,11 +426,14 @@ def phrase_hits(term: Term, phrase: Phrase, stream: Stream, canon: tuple[str, li
 
 def regex_hits(term: Term, pattern: str, lines: list[Line], stream: Stream) -> Iterator[Found]:
     """Matches in the text with line breaks as spaces, and with lines joined closely."""
-    first: dict[tuple[int, int], int] = {}
-    for k, (n, at) in enumerate(zip(stream.line, stream.at, strict=True)):
-        first.setdefault((n, at), k)
     flags = 0 if term.case else re.I
-    for glue in (" ", ""):
+    first: dict[tuple[int, int], int] = {}
+    for glue, whole in zip((" ", ""), flats(lines), strict=True):
+        if not re.search(pattern, whole, flags):
+            continue
+        if not first:
+            for k, (n, at) in enumerate(zip(stream.line, stream.at, strict=True)):
+                first.setdefault((n, at), k)
         text, place = [], []
         for n, line in enumerate(lines):
             own = re.sub(r"[-­‐]\s*$", "", line.text) if glue == "" else line.text
@@ -441,12 +466,49 @@ def zone_of(y0: float, y1: float, height: float) -> str:
     return "header" if middle < BAND else "footer" if middle > 1 - BAND else "body"
 
 
+@lru_cache(maxsize=1 << 10)
+def pieces(phrase: str, k: int) -> tuple[tuple[str, ...], ...]:
+    """Of a phrase that is found with k edits at most: pieces of which a text has one, in the views that windows() looks at, and all of it."""
+    p = Phrase.of(phrase)
+    hard = "".join(c for c, s in zip(p.letters, p.soft, strict=True) if not s)
+    forms = canonical(p.letters)[0], p.letters.translate(LOOKS), hard.translate(LOOKS)
+    cut = lambda x: tuple(filter(None, (x[j * len(x) // (k + 1) : (j + 1) * len(x) // (k + 1)] for j in range(k + 1))))
+    return cut(forms[0]), cut(forms[1]) + cut(forms[2]), (forms[1],)
+
+
+def candidates(lines: list[Line], profile: Profile) -> list[Term]:
+    """The terms that may be found on a page: in one pass over its text, none that is there is left out."""
+    whole = "\n".join(x.text for x in lines)
+    plain = whole.translate(PLAIN)
+    joined = plain
+    for one, two in JOINED.items():
+        joined = joined.replace(two, one)
+    bare = whole.translate(HARD) if len(plain) > len(lines) else plain
+    views = [x.translate(LOOKS) for x in (joined, plain, bare)]
+
+    def may_be(term: Term) -> bool:
+        if any(p in v for m in term.match for ps, v in zip(pieces(m, budget(term, len(Phrase.of(m).letters))), views, strict=True) for p in ps):
+            return True
+        flags = 0 if term.case else re.I
+        return any(re.search(r, flat, flags) for r in term.regex for flat in flats(lines))
+
+    return [t for t in profile.terms if may_be(t)]
+
+
+def flats(lines: list[Line]) -> tuple[str, str]:
+    """The text with line breaks as spaces, and with lines joined closely, their hyphens left out."""
+    return " ".join(x.text for x in lines), "".join(re.sub(r"[-­‐]\s*$", "", x.text) for x in lines)
+
+
 def find_on_page(lines: list[Line], profile: Profile, height: float, page: int = 1) -> list[dict]:
     """Hits on one page in the order (y0, x0)."""
+    wanted = candidates(lines, profile)
+    if not wanted:
+        return []
     stream = stream_of(lines)
     canon = canonical(stream.text)
     out = []
-    for term in profile.terms:
+    for term in wanted:
         found = [h for p in term.match for h in phrase_hits(term, Phrase.of(p), stream, canon)]
         found += [h for r in term.regex for h in regex_hits(term, r, lines, stream)]
         kept: list[Found] = []
