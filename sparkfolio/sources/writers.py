@@ -87,9 +87,11 @@ def plan_overlay(data: bytes, skip_text: bool = True) -> list[dict]:
 
 
 def write_tiff(pages: list[np.ndarray], compression: str = "deflate", dpi: int = 200) -> bytes:
-    """Pages of 8-bit grey or colour in one file; compression is none or deflate."""
-    if compression not in ("none", "deflate"):
-        raise ValueError(f"unknown compression {compression!r}; use none or deflate")
+    """Pages of 8-bit grey or colour in one file; compression is none, lzw or deflate."""
+    packed = {"none": (1, bytes), "lzw": (5, lzw), "deflate": (8, zlib.compress)}
+    if compression not in packed:
+        raise ValueError(f"unknown compression {compression!r}; use {', '.join(packed)}")
+    method, pack = packed[compression]
     if not pages:
         raise Unreadable("no pages")
     out = bytearray(struct.pack("<2sHI", b"II", 42, 0))
@@ -98,7 +100,7 @@ def write_tiff(pages: list[np.ndarray], compression: str = "deflate", dpi: int =
         h, w = p.shape[:2]
         colours = 3 if p.ndim == 3 else 1
         raw = np.ascontiguousarray(p, np.uint8).tobytes()
-        raw = zlib.compress(raw) if compression == "deflate" else raw
+        raw = pack(raw)
         data = len(out)
         out += raw + b"\0" * (len(raw) % 2)
         bits = len(out)
@@ -106,13 +108,107 @@ def write_tiff(pages: list[np.ndarray], compression: str = "deflate", dpi: int =
         res = len(out)
         out += struct.pack("<2I", dpi, 1)
         struct.pack_into("<I", out, link, len(out))
-        tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, colours, bits if colours == 3 else 8), (259, 3, 1, 8 if compression == "deflate" else 1), (262, 3, 1, 2 if colours == 3 else 1), (273, 4, 1, data), (277, 3, 1, colours), (278, 4, 1, h), (279, 4, 1, len(raw)), (282, 5, 1, res), (283, 5, 1, res), (296, 3, 1, 2)]
+        tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, colours, bits if colours == 3 else 8), (259, 3, 1, method), (262, 3, 1, 2 if colours == 3 else 1), (273, 4, 1, data), (277, 3, 1, colours), (278, 4, 1, h), (279, 4, 1, len(raw)), (282, 5, 1, res), (283, 5, 1, res), (296, 3, 1, 2)]
         out += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags)
         link = len(out)
         out += b"\0\0\0\0"
     return bytes(out)
 
 
+def plain_strip(part: bytes, method: int) -> bytes:
+    """A strip without its compression: none, LZW, deflate or runs of bytes."""
+    if method == 1:
+        return part
+    if method == 5:
+        return un_lzw(part)
+    if method in (8, 32946):
+        return zlib.decompress(part)
+    if method == 32773:
+        out, at = bytearray(), 0
+        while at < len(part):
+            n = part[at]
+            if n < 128:
+                out += part[at + 1 : at + n + 2]
+                at += n + 2
+            else:
+                out += part[at + 1 : at + 2] * (257 - n if n > 128 else 0)
+                at += 2 if n > 128 else 1
+        return bytes(out)
+    raise Unreadable(f"TIFF compression {method}")
+
+
+CLEAR, END = 256, 257
+
+
+def un_lzw(data: bytes) -> bytes:
+    """LZW with codes of 9 to 12 bits, the upper bit first, which grow one code early, as TIFF has it."""
+    out, table, last = bytearray(), [], b""
+    held, bits, width = 0, 0, 9
+    for byte in data:
+        held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits & ((1 << width) - 1)
+        if code == END:
+            break
+        if code == CLEAR:
+            table, last, width = [], b"", 9
+            continue
+        if code < CLEAR:
+            word = bytes((code,))
+        elif code - 258 < len(table):
+            word = table[code - 258]
+        elif last:
+            word = last + last[:1]
+        else:
+            raise Unreadable("LZW code out of order")
+        out += word
+        if last:
+            table.append(last + word[:1])
+        last = word
+        width = min(12, (len(table) + 259).bit_length())
+    return bytes(out)
+
+
+def lzw(data: bytes) -> bytes:
+    """data as un_lzw reads it."""
+    out, held, bits, sent = bytearray(), 0, 0, 0
+
+    def put(code: int) -> None:
+        """A code, as wide as the reader expects it: its table lags a code behind."""
+        nonlocal held, bits, sent
+        width = min(12, (max(0, sent - 1) + 259).bit_length())
+        held, bits = held << width | code, bits + width
+        while bits >= 8:
+            bits -= 8
+            out.append(held >> bits & 255)
+            held &= (1 << bits) - 1
+        sent = 0 if code == CLEAR else sent + 1
+
+    fresh = {bytes((k,)): k for k in range(256)}
+    codes, word = dict(fresh), b""
+    put(CLEAR)
+    for k in range(len(data)):
+        more = word + data[k : k + 1]
+        if more in codes:
+            word = more
+            continue
+        put(codes[word])
+        codes[more] = len(codes) + 2
+        word = data[k : k + 1]
+        if len(codes) > 4000:
+            put(codes[word])
+            put(CLEAR)
+            codes, word = dict(fresh), b""
+    if word:
+        put(codes[word])
+    put(END)
+    if bits:
+        out.append(held << (8 - bits) & 255)
+    return bytes(out)
+
+
 def read_tiff(data: bytes) -> list[np.ndarray]:
     """Frames of a TIFF: 1, 4 or 8 bits of grey, or colour; one strip or more, plain or deflated."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
@@ -135,13 +231,11 @@ def read_tiff(data: bytes) -> list[np.ndarray]:
         for a, size in zip(tags[273], tags[279], strict=True):
             part = data[a : a + size]
             method = tags.get(259, [1])[0]
-            if method in (8, 32946):
-                part = zlib.decompress(part)
-            elif method != 1:
-                raise Unreadable(f"TIFF compression {method}")
-            raw += part
+            raw += plain_strip(part, method)
         stride = (w * colours * bits + 7) // 8
         flat = np.frombuffer(raw[: stride * h], np.uint8).reshape(h, stride)
+        if tags.get(317, [1])[0] == 2 and bits == 8:  # differences along the row
+            flat = np.cumsum(flat.reshape(h, w, colours), axis=1, dtype=np.uint8).reshape(h, stride)
         if bits == 8:
             page = flat.reshape(h, w, colours) if colours > 1 else flat
         elif bits in (1, 2, 4):
