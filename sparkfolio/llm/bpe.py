@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from sparkfolio.llm.common import map_texts
 
 #: A pre-token that is longer isn't kept in the cache; words of each of the cache's two generations.
-CACHED_LENGTH, CACHED_WORDS = 64, 1 << 17
+CACHED_LENGTH, CACHED_WORDS = 64, 1 << 18
 NONE = 1 << 40
 #: Letters and digits that the regex module knows and the vocabulary's own library (Unicode 16) doesn't.
 NEWER = (
@@ -50,47 +50,56 @@ def leftmost_merges(ids: list[int], merges: dict[int, tuple[int, int]]) -> list[
     n = len(ids)
     if n < 2:
         return ids
-    size = 1 << (n - 2).bit_length()
-    # a leaf's value is rank * size + position: the least is the leftmost of the lowest rank
-    none = NONE * size
-    tree = [none] * (2 * size)
-    follow, before, get = list(range(1, n + 1)), list(range(-1, n - 1)), merges.get
-    for i in range(n - 1):
-        if m := get(ids[i] << 32 | ids[i + 1]):
-            tree[size + i] = m[0] * size + i
+    # leaf i is node size + i, its value rank << shift | i: the least is the leftmost of the lowest rank
+    size, get = n - 1, merges.get
+    shift = size.bit_length()
+    none, mask = NONE << shift, (1 << shift) - 1
+    tree = [none] * size
+    left = ids[0]
+    for i in range(size):
+        right = ids[i + 1]
+        m = get(left << 32 | right)
+        tree.append(m[0] << shift | i if m else none)
+        left = right
     for k in range(size - 1, 0, -1):
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
-
-    def put(i: int, value: int) -> None:
-        k = size + i
-        if tree[k] == value:
-            return
-        tree[k] = value
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            least = a if a < b else b
-            if tree[k] == least:
-                return
-            tree[k] = least
-            k >>= 1
-
+    follow, before = list(range(1, n + 1)), list(range(-1, size))
     while (least := tree[1]) < none:
-        i = least % size
+        i = least & mask
         j = follow[i]
-        ids[i] = merges[ids[i] << 32 | ids[j]][1]
-        k = follow[i] = follow[j]
+        left = ids[i] = merges[ids[i] << 32 | ids[j]][1]
         ids[j] = -1
+        k = follow[i] = follow[j]
+        # new are the leaves of the merged symbol, of the one that is gone, and of the one before
+        value = none
         if k < n:
             before[k] = i
-        if j < n - 1:
-            put(j, none)
-        m = get(ids[i] << 32 | ids[k]) if k < n else None
-        put(i, m[0] * size + i if m else none) if i < n - 1 else None
-        if (h := before[i]) >= 0:
-            m = get(ids[h] << 32 | ids[i])
-            put(h, m[0] * size + h if m else none)
+            if m := get(left << 32 | ids[k]):
+                value = m[0] << shift | i
+        at = size + i
+        while at and tree[at] != value:
+            tree[at] = value
+            at >>= 1
+            a, b = tree[2 * at], tree[2 * at + 1]
+            value = a if a < b else b
+        if j < size and tree[at := size + j] != none:
+            value = none
+            while at and tree[at] != value:
+                tree[at] = value
+                at >>= 1
+                a, b = tree[2 * at], tree[2 * at + 1]
+                value = a if a < b else b
+        h = before[i]
+        if h >= 0:
+            m = get(ids[h] << 32 | left)
+            value = m[0] << shift | h if m else none
+            at = size + h
+            while at and tree[at] != value:
+                tree[at] = value
+                at >>= 1
+                a, b = tree[2 * at], tree[2 * at + 1]
+                value = a if a < b else b
     return [x for x in ids if x >= 0]
 
 
@@ -112,6 +121,7 @@ class WordBpe:
         suffix = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.name = {i: s for s, i in [*vocab.items(), *self.special.items()]}
+        self.shown = {i: f" {s}".encode() for i, s in self.name.items()}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else m for m in model["merges"]]
         self.merges = {vocab[a] << 32 | vocab[b]: (rank, vocab[a + b]) for rank, (a, b) in reversed(list(enumerate(pairs)))}
         letters = byte_letters()
@@ -124,17 +134,16 @@ class WordBpe:
         self.newer = regex.compile(f"[{NEWER}]").search
         self.cut = regex.compile("|".join(map(regex.escape, self.special))).split if self.special else None
         self.marks = regex.compile("|".join(map(regex.escape, self.special))).findall
-        self.young: dict[str, tuple[bytes, bytes]] = {}
-        self.elder: dict[str, tuple[bytes, bytes]] = {}
+        self.young: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
 
-    def word(self, word: str) -> tuple[bytes, bytes]:
-        """The word's ids as little-endian unsigned 32-bit integers, and its decoded text with a blank before each token."""
+    def word(self, word: str) -> bytes:
+        """The word's ids as little-endian unsigned 32-bit integers."""
         raw = word.encode()
-        ids = [i for i in [*(self.inner[b] for b in raw[:-1]), self.last[raw[-1]]] if i is not None]
-        return self.pack(leftmost_merges(ids, self.merges))
-
-    def pack(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return array("I", ids).tobytes(), "".join(f" {self.name[i]}" for i in ids).encode()
+        ids = [*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]]
+        if None in ids:
+            ids = [i for i in ids if i is not None]
+        return array("I", leftmost_merges(ids, self.merges)).tobytes()
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -145,7 +154,7 @@ class WordBpe:
                 return "".join(c.lower() for c in text)
         return text.lower()
 
-    def plain(self, text: str, out: list[tuple[bytes, bytes]]) -> None:
+    def plain(self, text: str, out: list[bytes]) -> None:
         text = self.normal(text)
         words = self.find(text) if text.isascii() or max(text) < FIRST_NEWER or not self.newer(text) else self.find_older(text)
         for at in range(0, len(words), CACHED_WORDS):  # what is met in a part of a text fits into the cache
@@ -160,16 +169,17 @@ class WordBpe:
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """All ids as bytes, and the decoded text as UTF-8."""
-        out: list[tuple[bytes, bytes]] = []
+        out: list[bytes] = []
         if self.cut and "<|" in text:
             marks = self.marks(text)
             for k, part in enumerate(self.cut(text)):
                 self.plain(part, out)
                 if k < len(marks):
-                    out.append(self.pack([self.special[marks[k]]]))
+                    out.append(array("I", [self.special[marks[k]]]).tobytes())
         else:
             self.plain(text, out)
-        return b"".join([x[0] for x in out]), b"".join([x[1] for x in out])[1:]
+        ids = b"".join(out)
+        return ids, b"".join(map(self.shown.__getitem__, array("I", ids)))[1:]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.name[i] for i in ids)
