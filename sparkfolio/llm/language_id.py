@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from sparkfolio.llm.common import map_texts
+from sparkfolio.llm.common import cut, map_texts
 
 #: Bounds of the model for each language: labelled rows that are read (expected), words and n-grams kept. Longest n-gram, parts of a language's words.
 SAMPLE, WORDS, GRAMS, LONGEST, PARTS = 8_000, 20_000, 20_000, 4, 16
@@ -77,7 +77,8 @@ class Backoff:
 def learn_languages(labelled: DataFrame, sample: int = SAMPLE) -> Backoff:
     """labelled: text, lang and doc_id; rows without a lang don't count."""
     rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    shares = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share"))  # a row for each language
+    # a row for each language, as a table whose size Spark knows: it is broadcast where small, so that texts aren't shuffled
+    shares = cut(rows.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share")))
     turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
     rows = rows.join(shares, "lang").where(turn < F.col("share"))
     words = rows.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w != ''").groupBy("lang", "w").count()
