@@ -258,6 +258,67 @@ def test_url_rules_and_scores(spark):
     assert url_filter.judge_urls(df.limit(0), [0.0] * (url_filter.BUCKETS + 1)).collect() == []
 
 
+def brute_ngrams(text, kind):
+    import xxhash
+
+    def hashed(*values):  # as Spark chains it: each value's hash is the next one's seed
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest(v.encode(), h)
+        return h - (1 << 64 if h >> 63 else 0)
+
+    chars = "^" + re.sub("[1-9]", "0", text) + "$"
+    grams = {tuple(chars[k : k + n]) for n in url_filter.GRAMS for k in range(len(chars) - n + 1)} if text else set()
+    return {hashed(kind, *g) % url_filter.BUCKETS for g in grams}
+
+
+def brute_model(table):
+    """The regression's weights by plain loops, and the function that scores a url."""
+    import math
+
+    import numpy as np
+    import xxhash
+
+    w = np.append(np.zeros(url_filter.BUCKETS), url_filter.BIAS)
+
+    def raw(url):
+        host, path = brute_rule(url)[:2]
+        sets = brute_ngrams(host, "h"), brute_ngrams(path, "p")
+        return sets, sum(w[list(f)].sum() / math.sqrt(max(1, len(f))) if f else 0.0 for f in sets) + w[-1]
+
+    signed = lambda u: (h := xxhash.xxh64_intdigest(u.encode(), 42)) - (1 << 64 if h >> 63 else 0)
+    for _ in range(url_filter.PASSES):
+        for url, y in sorted(table, key=lambda r: (signed(r[0]), r[1])):
+            sets, z = raw(url)
+            push = url_filter.STEP * (y - 1 / (1 + math.exp(-z)))
+            w[:-1] *= url_filter.DECAY
+            for f in sets:
+                w[list(f)] += push / math.sqrt(len(f)) if f else 0
+    return w, lambda url: 1 / (1 + math.exp(-raw(url)[1]))
+
+
+def test_url_scores_against_brute_force(spark):
+    table = url_filter.labelled_urls()[::12]
+    weights = url_filter.train(spark, table)
+    want, score = brute_model(table)
+    assert max(abs(a - b) for a, b in zip(weights, want, strict=True)) < 1e-9
+    urls = [r["url"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()][:60] + [None, "", "x://", "x://h", "x://ÄÖ.org/a/b?c"]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id bigint, url string")
+    for r, u in zip(rows_of(url_filter.judge_urls(df, weights)), urls, strict=True):
+        assert abs(r["score"] - score(u)) < 1e-9 and r["verdict"] == (brute_rule(u)[3] or ("block" if r["score"] >= 0.5 else "allow"))
+
+
+def test_urls_of_the_table_that_were_left_out(spark):
+    """A floor below what was measured over three folds: 62 of 126 bad and 173 of 183 good urls are told right (see the README)."""
+    table, told = url_filter.labelled_urls(), Counter()
+    for fold in range(3):
+        weights = url_filter.train(spark, [r for k, r in enumerate(table) if k % 3 != fold])
+        out = [r for k, r in enumerate(table) if k % 3 == fold]
+        df = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(out)], "page_id bigint, url string")
+        told += Counter((bool(y), r["score"] >= 0.5) for r, (_, y) in zip(rows_of(url_filter.judge_urls(df, weights)), out, strict=True))
+    assert told[True, True] >= 55 and told[False, False] >= 165
+
+
 # 5: toxicity
 
 

@@ -64,3 +64,25 @@ def test_near_copies_in_a_large_family_of_borderline_similarity_go(spark):
     rows = [(k, "en", "web", t, len(t)) for k, t in rows]
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, lang string, source string, text string, n_chars bigint"), SF).collect()
     assert sorted(tuple(r) for r in got) == sorted(r for r in rows if want[r[0]] == r[0])
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and long texts, repeated rows, and columns whose names the operators use themselves."""
+    texts = [None, "", " \n", "word", "a b c d e f g h", "a b c d e f g h", "A  b c d e f g h i", "long words " * 20_000, "x" * 30_000]
+    rows = [(k if k % 4 else None, None if k % 3 else "en", None if k % 2 else "web", t, None if k % 2 else 5, 0.5, 1, "o", k, "p", 3, None, True) for k, t in enumerate([*texts, texts[4]])]
+    rows += [rows[5]] * 2
+    kinds = "doc_id bigint, lang string, source string, text string, n_chars bigint, score double, predicted int, own string, row_no bigint, pieces string, shard int, digest binary, single boolean"
+    docs = spark.createDataFrame(rows, kinds)
+    left = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, left[-1], SF)
+        assert name == "bpe" or (got.columns == docs.columns and got.dtypes == docs.dtypes)
+        left.append(got)
+    told = [[r.asDict() for r in x.collect()] for x in left]
+    assert len(told[1]) == len(rows)  # none of them is toxic
+    squeezed = lambda t: "".join((t or "").split())
+    assert Counter(squeezed(r["text"]) for r in told[2]) == Counter({squeezed(t) for t in texts})  # one of each text
+    near = Counter({(d, n): k for (d, n, _, kept), k in brute_near(told[2], 5).items() if kept})
+    assert Counter(r["doc_id"] for r in told[3]) == Counter(d for d, _ in near.elements()) and len(told[3]) == len(told[2]) - 1  # two share 4 of 5 shingles
+    assert {r["own"] for r in told[4]} == {"o"} and all(r["text"].strip() for r in told[4]) and len(told[5]) == len(told[4])
+    assert all(r["n_tokens"] == len(r["ids"]) for r in told[5])
