@@ -18,6 +18,7 @@ PROFILE = {
         {"name": "terms of use", "match": "terms of use", "near": ["license", "content"]},
     ],
 }
+FUZZY = {"term": [{"match": "internatoinal agreement"}, {"match": "public licensc", "fuzzy": 2}]}
 #: Texts that documents don't have: a marked one, one that speaks about grades, a clean one.
 MARKED = [(-1, "VS-NfD\n\nSehr geehrte Damen und Herren,\nanbei die Unterlagen."), (-2, "Die VS-NfD-Zulassung liegt vor."), (-3, "Ein Text ohne alles."), (-4, "NATO RESTRICTED\n\nSECRET")]
 
@@ -38,7 +39,7 @@ def find_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def find_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Misspelt and misread forms of words, with how they were found."""
-    hits = find_in_texts(table(spark, sf_dir, "documents"), parse({"term": [{"match": "internatoinal agreement"}, {"match": "public licensc", "fuzzy": 2}]}))
+    hits = find_in_texts(table(spark, sf_dir, "documents"), parse(FUZZY))
     return hits.select("doc_id", "term", "text", F.array_join("how", ",").alias("how"), F.round("score", 6).alias("score"))
 
 

@@ -1,7 +1,9 @@
 """Queries against their SQL twins, layout and pixels on literals, the note store, the watched folder."""
 
+import html
 import json
 import os
+import re
 import time
 
 import duckdb
@@ -10,11 +12,12 @@ import pytest
 
 import __spark_entry__ as entry
 from sparkfolio import queries as core
-from sparkfolio.operators import images
+from sparkfolio.operators import images, terms
 from sparkfolio.operators.exports import documents_of_texts, export
 from sparkfolio.operators.layout import Box, dehyphenated, lay_out, reading_order
 from sparkfolio.operators.store import sync
 from sparkfolio.operators.tables import column_bands, gutter, place
+from sparkfolio.plans import findings
 from sparkfolio.streaming.watch import to_json_lines, watched
 
 SF = "/root/testdata/sf0.001"
@@ -41,9 +44,75 @@ def test_query_and_sql_agree(spark, name):
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.ORACLES)))
-def test_query_without_sql_runs(spark, name):
-    assert core.QUERIES[name](spark, SF).count() >= 0
+def test_queries_without_sql_are_checked_below():
+    assert set(core.QUERIES) - set(core.ORACLES) == {"find_terms", "find_fuzzy", "severity_report", "markings_report", "html_blocks", "html_block_counts", "html_notes", "text_notes"}
+
+
+@pytest.mark.parametrize("profile", [findings.PROFILE, findings.FUZZY])
+def test_pages_that_are_passed_over_hold_no_hit(spark, monkeypatch, profile):
+    """Every document is searched twice: with the first look at its letters, and without."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300).collect()]
+    wanted = terms.parse(profile)
+    search = lambda: [terms.find_on_page(*(lambda p: (p[0], wanted, p[1]))(terms.lines_of(t or ""))) for t in texts]
+    fast = search()
+    monkeypatch.setattr(terms, "candidates", lambda lines, p: list(p.terms))
+    assert fast == search() and any(fast)
+
+
+def test_hits_and_severities(spark):
+    hits = core.QUERIES["find_terms"](spark, SF).collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    plain_words = {d for d, t in texts.items() if re.search(r"(?i)\blicen[sc]e\b", t or "")}
+    assert plain_words and plain_words <= {h["doc_id"] for h in hits if h["term"] == "license"}
+    for h in (h for h in hits if h["how"] == ["exact"]):
+        assert h["text"].lower() in texts[h["doc_id"]].lower()
+    ranks = ["info", "low", "medium", "high", "critical"]
+    want = {}
+    for h in hits:
+        top, n = want.get(h["doc_id"], ("info", 0))
+        want[h["doc_id"]] = max(top, h["severity"], key=ranks.index), n + 1
+    got = {r["doc_id"]: (r["severity"], r["n_hits"]) for r in core.QUERIES["severity_report"](spark, SF).collect()}
+    assert got == {d: v for d, v in want.items() if ranks.index(v[0]) >= 2}
+    for r in core.QUERIES["find_fuzzy"](spark, SF).collect():
+        assert 0 < r["score"] <= 1 and r["how"] and r["text"].replace("\n", " ").split()[0] in texts[r["doc_id"]]
+
+
+def test_markings_of_the_tables_and_of_literal_texts(spark):
+    got = {(r["doc_id"], r["kind"], r["label"], r["reason"]) for r in core.QUERIES["markings_report"](spark, SF).collect()}
+    assert got == {(-1, "marking", "VS-NfD", "standalone"), (-2, "mention", "VS-NfD", "compound word"), (-4, "marking", "NATO RESTRICTED", "standalone"), (-4, "marking", "SECRET", "standalone")}
+
+
+def test_pages_as_blocks_and_notes(spark):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    blocks = {}
+    for r in core.QUERIES["html_blocks"](spark, SF).collect():
+        blocks.setdefault(r["page_id"], []).append(r)
+    counts = {r["page_id"]: r["n_blocks"] for r in core.QUERIES["html_block_counts"](spark, SF).collect()}
+    notes = {r["path"]: r for r in core.QUERIES["html_notes"](spark, SF).collect()}
+    letters, roots = lambda t: re.sub(r"\W", "", html.unescape(t)), []
+    for page, source in pages.items():
+        own = sorted(blocks[page], key=lambda b: b["block_ord"])
+        assert counts[page] == len(own)
+        heading = next(b for b in own if b["kind"] == "heading")
+        assert heading["level"] == 1 and letters(heading["text"]) == letters(re.sub("<[^>]*>", "", re.search("<h1>(.*?)</h1>", source, re.S)[1]))
+        note = notes[f"{page}.html"]
+        assert note["status"] == "ok" and letters(note["title"]) == letters(re.search("<title>(.*?)</title>", source, re.S)[1])
+        article = letters(re.sub("<[^>]*>", " ", re.search("<article>(.*)</article>", source, re.S)[1]))
+        inside = [letters(re.sub(r"\]\([^)]*\)|[*`~\\\[\]]", " ", b["text"])) in article for b in own]
+        body = letters(re.sub("<[^>]*>", " ", re.sub(r"(?s)^.*<body>|<(nav|script|style)>.*?</\1>", "", source)))
+        roots.append(len(article) >= 0.5 * len(body))
+        assert all(inside) == roots[-1]  # a smaller article isn't all of the page's content
+    assert True in roots and False in roots
+
+
+def test_documents_as_notes(spark):
+    got = {}
+    for r in core.QUERIES["text_notes"](spark, SF).collect():
+        got.setdefault(r["path"], {})[r["kind"]] = r["n"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert set(got) == {f"{r['doc_id']}.txt" for r in docs if (r["text"] or "").strip()}
+    one = [r for r in docs if r["text"] and len(r["text"].split("\n")) == 1 and re.fullmatch(r"[\w ,]+\.", r["text"])]
+    assert one and all(got[f"{r['doc_id']}.txt"] == {"paragraph": 1} for r in one)
 
 
 def test_entry(spark):
