@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from sparkfolio.functions.geometry import bounds, box, horizontal_overlap, iou, quarter_turned, vertical_overlap
 from sparkfolio.operators import tables
 from sparkfolio.operators.layout import Box, blocks_of_pages, paragraphs
+from sparkfolio.operators.marks import unread
 from sparkfolio.operators.terms import mapped
 from sparkfolio.registry import query, table
 
@@ -174,3 +175,20 @@ def turned_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corners of boxes on pages that were turned by quarters."""
     p = quarter_turned(F.col("x0"), F.col("y0"), F.lit(1000.0), F.lit(1400.0), (F.col("id") % 4).cast("int"))
     return boxes(spark, sf_dir).select("id", p.alias("p")).select("id", "p.x", "p.y")
+
+
+@query(
+    f"""
+    WITH {BOXES}, t AS (SELECT b.*, p_brand AS text FROM b JOIN part ON p_partkey = id), s AS (SELECT id, page, upper(replace(text, '#', ' #')) AS text, x0 + 20 AS x0, y0 + 3 AS y0, x1 + 20 AS x1, y1 + 3 AS y1 FROM t WHERE id % 2 = 0),
+    l AS (SELECT * FROM t WHERE id % 4 <> 2),
+    m AS (SELECT s.id FROM s JOIN l ON s.page = l.page AND lower(regexp_replace(s.text, '\\s+', '', 'g')) = lower(regexp_replace(l.text, '\\s+', '', 'g'))
+          WHERE greatest(least(s.x1, l.x1) - greatest(s.x0, l.x0), 0) * greatest(least(s.y1, l.y1) - greatest(s.y0, l.y0), 0) > 0.5 * ((s.x1 - s.x0) * (s.y1 - s.y0) + (l.x1 - l.x0) * (l.y1 - l.y0) - greatest(least(s.x1, l.x1) - greatest(s.x0, l.x0), 0) * greatest(least(s.y1, l.y1) - greatest(s.y0, l.y0), 0)))
+    SELECT id, page FROM s WHERE id NOT IN (SELECT id FROM m)
+    """
+)
+def unread_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second box as a stamp, a little aside: those that no line has read."""
+    brand = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("text"))
+    lines = boxes(spark, sf_dir).join(brand, "id")
+    aside = {"text": F.upper(F.replace("text", F.lit("#"), F.lit(" #"))), **{c: F.col(c) + 20 for c in ("x0", "x1")}, **{c: F.col(c) + 3 for c in ("y0", "y1")}}
+    return unread(lines.where("id % 2 = 0").withColumns(aside), lines.where("id % 4 <> 2"), "page").select("id", "page")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkfolio.functions import geometry, text
 from sparkfolio.model import exploded
-from sparkfolio.operators import images, language
+from sparkfolio.operators import images, language, marks
 from sparkfolio.operators.exports import documents_of_texts
 from sparkfolio.operators.sequences import joined_text
 from sparkfolio.sources.notes import Unreadable
@@ -76,3 +76,16 @@ def test_windows_of_events(spark):
     got = {(str(r["window"]["start"])[11:], r["event_type"], r["n"], r["total"]) for r in windowed(events, "1 minute", "1 minute").collect()}
     assert got == {("00:00:00", "a", 2, 3.0), ("00:01:00", "b", 1, 4.0)}
     assert windowed(events, "1 minute", "2 minutes", "1 minute").count() == 4
+
+
+def test_characters_and_stamps(spark):
+    made = lambda text, at: [(c, float(x), float(x + 8)) for c, x in zip(text, at, strict=True)]
+    rows = [(made("ab cd", (0, 10, 20, 30, 40)),), (made("abcd", (0, 10, 40, 50)),), (made("a.b", (0, 40, 80)),), ([],)]
+    df = spark.createDataFrame(rows, "c array<struct<ch:string,x0:double,x1:double>>")
+    got = df.select(marks.words_of(F.col("c")).alias("w"), marks.restored_spaces(F.col("c")).alias("t")).collect()
+    assert [[(w["text"], w["x0"], w["x1"]) for w in r["w"]] for r in got] == [[("ab", 0, 18), ("cd", 30, 48)], [("abcd", 0, 58)], [("a.b", 0, 88)], []]
+    assert [r["t"] for r in got] == ["ab cd", "ab cd", "a.b", ""]
+    kind = "page int, text string, x0 double, y0 double, x1 double, y1 double"
+    stamps = spark.createDataFrame([(1, "RE AD", 0.0, 0.0, 10.0, 10.0), (1, "elsewhere", 0.0, 0.0, 10.0, 10.0), (2, "read", 0.0, 0.0, 10.0, 10.0), (1, "new", 0.0, 0.0, 9.0, 9.0)], kind)
+    lines = spark.createDataFrame([(1, "Read", 0.0, 1.0, 10.0, 11.0), (1, "elsewhere", 50.0, 0.0, 60.0, 10.0)], kind)
+    assert sorted((r["page"], r["text"]) for r in marks.unread(stamps, lines, "page").collect()) == [(1, "elsewhere"), (1, "new"), (2, "read")]
