@@ -352,7 +352,7 @@ def aligned(phrase: Phrase, stream: Stream, a: int, b: int, most: int, free: boo
     text, soft = stream.text[a:b], stream.soft[a:b]
     n, far = len(text), 1 << 40
     gap = stream.gap
-    opens = [free or a + j == 0 or gap[a + j] not in (NONE, SPACED) or (gap[a + j] == SPACED and False) for j in range(n)]
+    opens = [free or a + j == 0 or gap[a + j] not in (NONE, SPACED) for j in range(n)]
     before2: list[tuple[int, int]] | None = None
     row = [(0, j) if j < n and (opens[j] or (gap[a + j] == SPACED)) else (far, j) for j in range(n + 1)]
     for i, c in enumerate(phrase.letters):
