@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -67,14 +68,19 @@ def composed(text: Column) -> Column:
     return nfc(text)
 
 
-def similarity(a: Column, b: Column) -> Column:
+def edits_of_bytes(a: Column, b: Column) -> Column:
+    """Levenshtein distance of two texts in UTF-8, a byte being what an edit changes; SQL engines may count so."""
+    return F.levenshtein(*(F.decode(F.encode(c, "UTF-8"), "ISO-8859-1") for c in (a, b)))
+
+
+def similarity(a: Column, b: Column, edits: Callable[[Column, Column], Column] = F.levenshtein) -> Column:
     """Share of the longer of two texts that stays, by edits: 1 for equal ones, case aside."""
     a, b = F.lower(a), F.lower(b)
     longer = F.greatest(F.length(a), F.length(b))
-    return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
+    return F.when(longer == 0, 1.0).otherwise(1 - edits(a, b) / longer)
 
 
-def closest_lines(lines: DataFrame, needle: str, keys: list[str], top: int = 3) -> DataFrame:
+def closest_lines(lines: DataFrame, needle: str, keys: list[str], top: int = 3, edits: Callable[[Column, Column], Column] = F.levenshtein) -> DataFrame:
     """keys, text and score of the lines of each key that are closest to the needle: the best so many distinct texts, ties by text.
 
     A line counts by its best stretch of as many words as the needle has.
@@ -82,7 +88,7 @@ def closest_lines(lines: DataFrame, needle: str, keys: list[str], top: int = 3)
     n = len(needle.split())
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     starts = F.sequence(F.lit(1), F.greatest(F.size("own") - (n - 1), F.lit(1)))
-    best = F.array_max(F.transform(starts, lambda k: similarity(F.array_join(F.slice("own", k, F.lit(n)), " "), F.lit(needle))))
+    best = F.array_max(F.transform(starts, lambda k: similarity(F.array_join(F.slice("own", k, F.lit(n)), " "), F.lit(needle), edits)))
     scored = lines.select(*keys, "text", words.alias("own")).where(F.size("own") > 0).select(*keys, "text", F.round(best, 8).alias("score")).distinct()
     window = Window.partitionBy(*keys).orderBy(F.desc("score"), "text")
     return scored.withColumn("place", F.row_number().over(window)).where(F.col("place") <= top).drop("place")
