@@ -3,8 +3,11 @@
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
 
 from sparkfolio import queries as core
+from sparkfolio.operators import metrics
 from sparkfolio.sources import html_reader
 
 
@@ -31,3 +34,17 @@ def test_titles_are_as_written_but_for_ampersands(spark, tmp_path):
     assert got == want and got[0] == (0, "de", titles[0])
     notes = [html_reader.html_note(f"<title>{t}</title>").meta.get("title") for t in titles]
     assert notes[0] == 'token = "7702344ead3' and notes[1] == "ver&"
+
+
+def test_word_errors_of_pairs_with_many_distinct_words(spark):
+    """By counting words: more than 95 of them are distinct, where the SQL's symbols begin to take two bytes."""
+    a = [f"a{k}" for k in range(60)]
+    b = [w if k % 2 else f"b{k}" for k, w in enumerate(a)] + [f"c{k}" for k in range(20)]
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    assert len({*a, *b}) > 95
+    rows = spark.createDataFrame([(" ".join(a), " ".join(b))], "expected string, found string")
+    assert rows.select(metrics.wer(F.col("expected"), F.col("found")).alias("wer")).head()["wer"] == pytest.approx(row[-1] / len(a))
