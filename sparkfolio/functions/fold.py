@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
 DASHES = frozenset("‐‑‒–—―−﹘﹣－")
 HIDDEN = frozenset("­​‌‍⁠﻿")
+NOT_ASCII = re.compile(r"[^\x00-\x7F]+")
 SPELLED = {"Ä": "AE", "Ö": "OE", "Ü": "UE", "ß": "SS", "ẞ": "SS", "Æ": "AE", "Œ": "OE", "Ø": "OE", "Å": "AA"}
 
 
@@ -42,3 +44,14 @@ def fold_text(text: str) -> tuple[str, list[int]]:
         out.append(f)
         origin += [k] * len(f)
     return "".join(out), origin
+
+
+def folded_text(text: str) -> str:
+    """The folded text alone, in fewer steps where it becomes ASCII."""
+    out = text
+    for ch in set("".join(NOT_ASCII.findall(text))):
+        to = folded(ch)
+        if not to.isascii():
+            return fold_text(text)[0]
+        out = out.replace(ch, to)
+    return out.upper()
